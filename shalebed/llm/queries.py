@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, quality, sharding, url_filters
+from . import bpe, chat, decontaminate, html_text, near_dedup, passages, quality, sharding, url_filters
 from .words import scratch
 
 
@@ -27,6 +27,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40, scratch(spark, "slot-map"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by sets of three-word shingles with a similarity of 0.85 or more."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All maximal conversations, rendered."""
     return chat.render(table(spark, sf_dir, "conversations"))
@@ -38,6 +43,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 13-word windows that a smaller doc_id has."""
+    out = passages.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), n=13)
+    removed = F.aggregate("removed", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as captures of 2024; the day of the fetch follows from the page's id."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(DATE '2024-01-01', CAST(page_id * 31 % 366 AS INT))").alias("fetched"))
@@ -49,6 +61,11 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contaminated documents with the benchmark items that they hold."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents under the current policy."""
     led = quality.ledger(table(spark, sf_dir, "documents"))
@@ -59,10 +76,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op3_near_dedup": op3_near_dedup,
         "op4_chat": op4_chat,
         "op5_bpe": op5_bpe,
+        "op6_passages": op6_passages,
         "op7_url_filters": op7_url_filters,
         "op8_html": op8_html,
+        "op9_decontamination": op9_decontamination,
         "op10_quality": op10_quality,
     }
 

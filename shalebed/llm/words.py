@@ -115,7 +115,7 @@ def unpack_counts(blob: bytes) -> np.ndarray:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of a frame that is read from files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
