@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text, near_dedup, passages, quality, sharding, url_filters
+from . import bpe, chat, decontaminate, html_text, kneser_ney, near_dedup, passages, quality, sharding, url_filters
 from .words import scratch
 
 
@@ -27,6 +27,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40, scratch(spark, "slot-map"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a bigram model of six sevenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = kneser_ney.held_out(F.col("doc_id"))
+    model = kneser_ney.train(docs.filter(~held), scratch(spark, "kneser-ney"))
+    return kneser_ney.score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by sets of three-word shingles with a similarity of 0.85 or more."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
@@ -76,6 +84,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_near_dedup": op3_near_dedup,
         "op4_chat": op4_chat,
         "op5_bpe": op5_bpe,

@@ -161,7 +161,10 @@ def write_shared(path: str, data: bytes) -> None:
 
 
 def map_shared(path: str, dtype: type) -> np.ndarray:
-    """A shared file as a memory-mapped array; a file in another store is copied to an unnamed local file first."""
+    """A shared file as a memory-mapped array, empty if there is none.
+
+    A file in another store than a mounted one is copied to an unnamed local file first.
+    """
     fs, at = shared_fs(path)
     size = fs.get_file_info(at).size
     if not size:
