@@ -23,7 +23,6 @@ keeps all of them; other columns pass through.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import WordHashes, chunks, only_ids, pack_counts, pack_sorted, partitions_for, stored, unpack_counts, unpack_sorted, windows, word_arrays
+from .words import WordHashes, chunks, mix, only_ids, pack_counts, pack_sorted, partitions_for, stored, unpack_counts, unpack_sorted, windows, word_arrays
 
 SLICE_BYTES = 8 << 20
 OWN_TYPES = T.StructType([
@@ -49,6 +48,28 @@ def _groups(keys: np.ndarray) -> np.ndarray:
     return np.nonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[0] if len(keys) else np.zeros(0, np.int64)
 
 
+def _slices(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The runs of equal neighbours."""
+    cut = _groups(keys).tolist()
+    return zip(cut, [*cut[1:], len(keys)][: len(cut)], strict=True)
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs (a, b), in order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _dealt(ids: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places) of ids that are dealt over parts by their hash."""
+    part = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    yield from ((int(part[order[b]]), order[b:e]) for b, e in _slices(part[order]))
+
+
 def reports(docs: DataFrame, n: int, shards: int) -> DataFrame:
     """What slices of documents report to each range of hashes.
 
@@ -65,22 +86,21 @@ def reports(docs: DataFrame, n: int, shards: int) -> DataFrame:
             hashes, lens = word_arrays(texts, known)
             at, h = windows(hashes, lens, n)
             doc = ids[np.repeat(np.arange(len(lens)), lens)[at]] if len(at) else np.zeros(0, np.int64)
-            order = np.lexsort((doc, h))
+            order = np.argsort(h)
             h, doc = h[order], doc[order]
             begin = _groups(h)
             if not len(begin):
                 continue
-            first = doc[begin]
-            several = doc[np.concatenate((begin[1:], [len(h)])) - 1] != first
-            least = np.repeat(first, np.diff(np.concatenate((begin, [len(h)]))))
-            later = np.unique(np.stack((doc, least))[:, doc != least], axis=1)
+            first = np.minimum.reduceat(doc, begin)
+            several = np.maximum.reduceat(doc, begin) != first
+            least = np.repeat(first, np.diff(begin, append=len(h)))
+            later = _distinct(doc[doc != least], least[doc != least])
             shard = (h[begin] // step).astype(np.int64)
-            cut = _groups(shard)
             rows = []
-            for b, e in zip(cut, [*cut[1:], len(shard)], strict=True):
+            for b, e in _slices(shard):
                 own, index = np.unique(first[b:e], return_inverse=True)
                 rows.append((int(shard[b]), pack_sorted(h[begin[b:e]]), own.tobytes(), pack_counts(index), np.packbits(several[b:e]).tobytes(), b"", b""))
-            if later.size:
+            if len(later[0]):
                 turn += 1
                 k = turn % len(rows)
                 rows[k] = (*rows[k][:5], later[0].tobytes(), later[1].tobytes())
@@ -90,41 +110,49 @@ def reports(docs: DataFrame, n: int, shards: int) -> DataFrame:
     return rows.mapInArrow(run, "shard int, hashes binary, ids binary, first binary, several binary, later binary, before binary")
 
 
-def _confirm(table: pa.Table) -> pa.Table:
-    """Of one range: (doc, windows) of the owners of recurring windows, (doc, before) of others that hold them."""
+def _confirm(table: pa.Table, parts: int) -> pa.Table:
+    """What one range has found, dealt over parts by document: recurring windows with their owners, and who holds them beside."""
     hashes, firsts, several, pairs = [], [], [], []
     for _, h, ids, index, many, later, before in zip(*(c.to_pylist() for c in table.columns), strict=True):
         hashes.append(unpack_sorted(h))
         firsts.append(np.frombuffer(ids, np.int64)[unpack_counts(index)])
         several.append(np.unpackbits(np.frombuffer(many, np.uint8), count=len(hashes[-1])).astype(bool))
         if later:
-            pairs.append(np.stack((np.frombuffer(later, np.int64), np.frombuffer(before, np.int64))))
+            pairs.append((np.frombuffer(later, np.int64), np.frombuffer(before, np.int64)))
     h, doc, many = map(np.concatenate, (hashes, firsts, several))
-    order = np.lexsort((doc, h))
+    order = np.argsort(h)
     h, doc, many = h[order], doc[order], many[order]
     begin = _groups(h)
-    size = np.diff(np.concatenate((begin, [len(h)])))
-    owner = np.repeat(doc[begin], size)
-    pairs.append(np.stack((doc, owner))[:, doc != owner])
+    least = np.minimum.reduceat(doc, begin)
+    owner = np.repeat(least, np.diff(begin, append=len(h)))
+    pairs.append((doc[doc != owner], owner[doc != owner]))
     recurs = np.logical_or.reduceat(many | (doc != owner), begin)
-    own, what = doc[begin][recurs], h[begin][recurs]
-    order = np.argsort(own, kind="stable")
+    own, what = least[recurs], h[begin][recurs]
+    later, before = _distinct(*map(np.concatenate, zip(*pairs, strict=True)))
+    rows = [(p, own[at].tobytes(), what[at].tobytes(), b"", b"") for p, at in _dealt(own, parts)]
+    rows += [(p, b"", b"", later[at].tobytes(), before[at].tobytes()) for p, at in _dealt(later, parts)]
+    return pa.table([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(5)], ["part", "owners", "windows", "later", "before"])
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """Of one part of the documents: (doc, windows) of owners, (doc, before) of others, each once."""
+    own, what, later, before = (np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in (("owners", np.int64), ("windows", np.uint64), ("later", np.int64), ("before", np.int64)))
+    order = np.argsort(own)
     own, what = own[order], what[order]
-    cut = _groups(own)
-    blobs = [what[b:e].tobytes() for b, e in zip(cut, [*cut[1:], len(own)], strict=True)]
-    later = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    none = later.shape[1]
+    blobs = [what[b:e].tobytes() for b, e in _slices(own)]
+    later, before = _distinct(later, before)
     return pa.table({
-        "doc": pa.array(np.concatenate((own[cut], later[0])), pa.int64()),
-        "windows": pa.array([*blobs, *[None] * none], pa.binary()),
-        "before": pa.concat_arrays([pa.nulls(len(blobs), pa.int64()), pa.array(later[1], pa.int64())]),
+        "doc": pa.array(np.concatenate((own[_groups(own)], later)), pa.int64()),
+        "windows": pa.array([*blobs, *[None] * len(later)], pa.binary()),
+        "before": pa.concat_arrays([pa.nulls(len(blobs), pa.int64()), pa.array(before, pa.int64())]),
     })
 
 
 def confirm(docs: DataFrame, n: int) -> DataFrame:
     """(doc, windows, before): the owners' recurring windows, and which documents share one with a smaller one."""
-    found = reports(docs, n, 2 * partitions_for(docs))
-    return found.groupBy("shard").applyInArrow(_confirm, "doc long, windows binary, before long")
+    parts = partitions_for(docs)
+    found = reports(docs, n, parts).groupBy("shard").applyInArrow(lambda t: _confirm(t, parts), "part int, owners binary, windows binary, later binary, before binary")
+    return found.groupBy("part").applyInArrow(_gather, "doc long, windows binary, before long")
 
 
 def passages(docs: DataFrame, confirmed: DataFrame, n: int) -> DataFrame:
@@ -134,19 +162,19 @@ def passages(docs: DataFrame, confirmed: DataFrame, n: int) -> DataFrame:
         known = WordHashes()
         for batch, texts in chunks(batches):
             owners, out = [], []
-            for doc, text, blobs in zip(batch.column("doc_id").to_pylist(), texts, batch.column("windows").to_pylist(), strict=True):
+            for doc, text, mine in zip(batch.column("doc_id").to_pylist(), texts, batch.column("windows").to_pylist(), strict=True):
                 words = text.split()
                 at, h = windows(known.of(words), np.array([len(words)]), n)
-                mine = np.nonzero(np.isin(h, np.frombuffer(b"".join(blobs), np.uint64)))[0]
-                _, first = np.unique(h[mine], return_index=True)
-                where = np.sort(at[mine[first]])
+                found = np.nonzero(np.isin(h, np.frombuffer(mine, np.uint64)))[0]
+                _, first = np.unique(h[found], return_index=True)
+                where = np.sort(at[found[first]])
                 cut = np.nonzero(np.diff(where, prepend=-2) != 1)[0]
                 for b, e in zip(cut, [*cut[1:], len(where)], strict=True):
                     owners.append(doc)
                     out.append(b" ".join(words[where[b] : where[e - 1] + n]))
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(out, pa.binary())], ["owner", "passage"])
 
-    own = confirmed.filter("windows IS NOT NULL").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("windows").alias("windows"))
+    own = confirmed.filter("windows IS NOT NULL").select(F.col("doc").alias("doc_id"), "windows")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return only_ids(rows, own).join(own, "doc_id").select("doc_id", "text", "windows").mapInArrow(run, "owner long, passage binary")
 
@@ -159,16 +187,28 @@ def demand(confirmed: DataFrame) -> DataFrame:
 
 
 class Automaton:
-    """Finds what texts have of passages, n words or more."""
+    """Finds what texts have of passages, n words or more.
+
+    Words of the passages are numbered and written with ``width`` characters each, so that the
+    automaton has a few short steps a word; a hit between words is no hit.
+    """
+
+    DIGITS = "".join(map(chr, range(0x30, 0x30 + 64)))
+    OTHER = "!"
 
     def __init__(self, owners: list[int], texts: list[bytes], n: int):
         self.n, self.block = n, (n + 1) // 2
         self.owners, self.words = owners, [t.split() for t in texts]
+        distinct = dict.fromkeys(w for words in self.words for w in words)
+        self.width = next(k for k in range(1, 99) if 64**k >= len(distinct))
+        self.code = {w: self._digits(i) for i, w in enumerate(distinct)}
+        self.other = self.OTHER * self.width
         self.places: list[list[tuple[int, int]]] = []
-        self.trie, index = ahocorasick.Automaton(), {}
+        self.trie, index, size = ahocorasick.Automaton(), {}, self.block * self.width
         for q, words in enumerate(self.words):
+            text = "".join(map(self.code.__getitem__, words))
             for j in range(0, len(words) - self.block + 1, self.block):
-                phrase = " " + b" ".join(words[j : j + self.block]).decode("utf-8", "surrogateescape") + " "
+                phrase = text[j * self.width : j * self.width + size]
                 if phrase not in index:
                     index[phrase] = len(self.places)
                     self.places.append([])
@@ -177,33 +217,42 @@ class Automaton:
         if self.places:
             self.trie.make_automaton()
 
+    def _digits(self, i: int) -> str:
+        return "".join(self.DIGITS[i >> 6 * k & 63] for k in range(self.width))
+
     def matches(self, doc_id: int, words: list[bytes]) -> list[tuple[int, int]]:
         """(start, end) of the word runs that belong to passages of a smaller doc_id, apart and in order."""
         if not self.places or len(words) < self.n:
             return []
-        text = f" {b' '.join(words).decode('utf-8', 'surrogateescape')} "
-        spaces = np.nonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)[0]
-        found = list(self.trie.iter(text))
-        ends = np.searchsorted(spaces, [end for end, _ in found]) - self.block
-        chains: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for at, (_, phrase) in zip(ends.tolist(), found, strict=True):
-            for q, j in self.places[phrase]:
-                if self.owners[q] < doc_id:
-                    chains[q, at - j].append(at)
+        get, other, width, side = self.code.get, self.other, self.width, self.n - self.block
+        until: dict[tuple[int, int], int] = {}  # how far each diagonal is known
+        first = last = 0  # the run that reaches furthest
         runs = []
-        for (q, shift), places in chains.items():
-            passage, until = self.words[q], -1
-            for at in places:  # ascending, as they were found
-                if at < until:
+        for end, phrase in self.trie.iter("".join([get(w, other) for w in words])):
+            if (end + 1) % width:
+                continue
+            at = (end + 1) // width - self.block
+            # windows with this phrase lie here; further ones have another phrase of their passage
+            if first <= max(at - side, 0) and min(at + self.n, len(words)) <= last:
+                continue
+            for q, j in self.places[phrase]:
+                passage, shift = self.words[q], at - j
+                if self.owners[q] >= doc_id:
                     continue
-                start, end = at, at + self.block
-                while start > 0 and start - shift > 0 and words[start - 1] == passage[start - shift - 1]:
-                    start -= 1
-                while end < len(words) and end - shift < len(passage) and words[end] == passage[end - shift]:
-                    end += 1
-                until = end
-                if end - start >= self.n:
-                    runs.append((start, end))
+                if len(passage) == self.n:  # a single window
+                    if shift < 0 or words[shift : shift + self.n] != passage:
+                        continue
+                    run = (shift, shift + self.n)
+                elif until.get((q, shift), -1) <= at:
+                    run = self._extended(words, passage, at, shift)
+                    until[q, shift] = run[1]
+                    if run[1] - run[0] < self.n:
+                        continue
+                else:
+                    continue
+                runs.append(run)
+                if run[1] > last:
+                    first, last = run
         runs.sort()
         out: list[tuple[int, int]] = []
         for start, end in runs:
@@ -213,6 +262,18 @@ class Automaton:
                 out.append((start, end))
         return out
 
+    def _extended(self, words: list[bytes], passage: list[bytes], at: int, shift: int) -> tuple[int, int]:
+        """The longest equal run around words at .. at + block, on the diagonal; steps of 64 words first."""
+        start, end = at, at + self.block
+        while start > max(shift, 0) and words[start - 1] == passage[start - shift - 1]:
+            start -= 1
+        last = min(len(words), len(passage) + shift)
+        while end + 64 <= last and words[end : end + 64] == passage[end - shift : end - shift + 64]:
+            end += 64
+        while end < last and words[end] == passage[end - shift]:
+            end += 1
+        return start, end
+
 
 def _kept(words: list[bytes], spans: list[tuple[int, int]]) -> bytes:
     edges = [0, *(x for span in spans for x in span), len(words)]
