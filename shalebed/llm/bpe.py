@@ -44,7 +44,7 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """Encoder and decoder of one vocabulary."""
 
-    limit = 400_000
+    limit = 150_000
 
     def __init__(self, spec: str):
         spec = json.loads(spec)
@@ -55,8 +55,15 @@ class Bpe:
         symbols = byte_symbols()
         self.inner, self.last = ([vocab[s + x] for s in symbols] for x in ("", end))
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges)}
+        self.ranks = {vocab[a] << 16 | vocab[b]: r for r, (a, b) in enumerate(merges)}  # ids fit in 16 bits
+        if max(self.strings, default=0) >> 16:
+            raise ValueError("a vocabulary of more than 65,536 ids")
+        self.sorted = np.array(sorted(self.ranks), np.int64)
+        self.sorted_ranks = np.array([self.ranks[k] for k in self.sorted.tolist()], np.int64)
         self.pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        self.first_use: dict[int, int] = {}
+        for r in range(len(self.pairs) - 1, -1, -1):
+            self.first_use[self.pairs[r][0]] = self.first_use[self.pairs[r][1]] = r
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = {s: np.uint32(i).tobytes() for s, i in added.items()}
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE))
@@ -77,53 +84,79 @@ class Bpe:
         if len(self.known) > self.limit:
             self.known.clear()
         new = [p for p in pieces if p not in self.known]
-        symbols, starts = [], []
+        symbols, ends, inner = [], [], self.inner
         for p in new:
             raw = p.encode()
-            starts.append(len(symbols))
-            symbols += [self.inner[b] for b in raw[:-1]]
+            symbols += [inner[b] for b in raw[:-1]]
             symbols += (self.last[raw[-1]], -1)
-        self.merge(symbols)
-        for p, at, end in zip(new, starts, [*starts[1:], len(symbols)], strict=True):
-            self.known[p] = np.array([s for s in symbols[at:end] if s >= 0], np.uint32).tobytes()
-
-    def merge(self, symbols: list[int]) -> None:
+            ends.append(len(symbols))
+        ids = np.array(symbols, np.int64)
+        self.merge(ids)
+        kept = ids >= 0
+        packed, to = ids[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept)[np.array(ends, np.int64) - 1]).tolist()
+        for p, b, e in zip(new, [0, *to], to, strict=False):
+            self.known[p] = packed[b:e]
+
+    def ranked(self, pairs: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(rank, places) of the pairs that have a merge."""
+        at = np.minimum(np.searchsorted(self.sorted, pairs), len(self.sorted) - 1)
+        found = np.flatnonzero(self.sorted[at] == pairs)
+        rank = self.sorted_ranks[at[found]]
+        order = np.argsort(rank, kind="stable")
+        places, rank = places[found[order]], rank[order]
+        cut = np.flatnonzero(np.diff(rank, prepend=-1)).tolist()
+        return ((r, places[b:e].tolist()) for r, b, e in zip(rank[cut].tolist(), cut, [*cut[1:], len(rank)], strict=False))
+
+    def merge(self, symbols: np.ndarray) -> None:
         """Applies all merges in place; -1 ends a piece, -2 marks a symbol that was merged away."""
         n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        view, next_, last = memoryview(symbols), memoryview(after), memoryview(before)
         rank_of = self.ranks.get
-        where: dict[int, list[int]] = defaultdict(list)
-        for i, pair in enumerate(zip(symbols, symbols[1:])):
-            if (r := rank_of(pair)) is not None:
-                where[r].append(i)
+        where = defaultdict(list, self.ranked(symbols[:-1] << 16 | symbols[1:], np.arange(n - 1))) if n else {}
         active = list(where)
         heapq.heapify(active)
+
+        def add(q: int, places: list[int]) -> None:
+            if q not in where:
+                heapq.heappush(active, q)
+            where[q] += places
+
         while active:
             r = heapq.heappop(active)
             places = where.pop(r, None)
             if not places:
                 continue
-            places.sort()
             a, b, made = self.pairs[r]
-            for k, i in enumerate(places):
+            if len(places) > 48 and a != b and self.first_use.get(made, r) >= r:  # apart from each other, and nothing comes before
+                i = np.unique(places)
                 j = after[i]
-                if symbols[i] != a or j >= n or symbols[j] != b:
-                    continue
+                same = (symbols[i] == a) & (symbols[np.minimum(j, n - 1)] == b)
+                i, j = i[same], j[same]
                 symbols[i], symbols[j] = made, -2
-                after[i] = right = after[j]
-                before[right if right < n else j] = i
-                lower = False
+                right = after[j]
+                after[i], before[right] = right, i
                 left = before[i]
-                for x, pair in ((left, (symbols[left], made)) if left >= 0 else (left, None), (i, (made, symbols[right]))):
-                    if (q := rank_of(pair)) is not None:
-                        if q not in where:
-                            heapq.heappush(active, q)
-                        where[q].append(x)
-                        lower |= q < r
+                for q, new in self.ranked(np.concatenate((np.where(left < 0, -1, symbols[left] << 16 | made), made << 16 | symbols[right])), np.concatenate((left, i))):
+                    add(q, new)
+                continue
+            places.sort()
+            for k, i in enumerate(places):
+                j = next_[i]
+                if view[i] != a or j >= n or view[j] != b:
+                    continue
+                view[i], view[j] = made, -2
+                next_[i] = right = next_[j]
+                last[right] = i
+                left, lower = last[i], False
+                if left >= 0 and (q := rank_of(view[left] << 16 | made)) is not None:
+                    add(q, [left])
+                    lower = q < r
+                if (q := rank_of(made << 16 | view[right])) is not None:
+                    add(q, [i])
+                    lower |= q < r
                 if lower and k + 1 < len(places):  # a lower rank comes first, the rest of this list after it
-                    if r not in where:
-                        heapq.heappush(active, r)
-                    where[r] += places[k + 1 :]
+                    add(r, places[k + 1 :])
                     break
 
     def encode(self, texts: list[str]) -> list[bytes]:
