@@ -44,7 +44,7 @@ def test_search_is_a_full_scan(built, term):
     assert built.count(term).first()[0] == len(want)
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.data())
 def test_index_only_skips_blocks_that_cannot_match(built, data):
     line = data.draw(st.sampled_from(TEXT))

@@ -46,7 +46,7 @@ def test_variables(spark):
         assert [x.value for x in r.v] == r.java == [r.line[x.start : x.end] for x in r.v]
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.text("0123456789abcdefxXE.-/: \\_", max_size=40), min_size=30, max_size=30))
 def test_java_and_python_see_the_same(spark, lines):
     rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", templates.values_of(F.col("line")).alias("v")).collect()
@@ -174,7 +174,7 @@ def test_chunks_against_slices(spark):
     assert bytes(chunks.byte_range(longer, 150, 300).first().content) == whole[150:450]
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.lists(st.tuples(st.binary(max_size=60), st.binary(max_size=60)), min_size=8, max_size=8))
 def test_delta_and_apply(spark, pairs):
     pairs = [*pairs, (b"a" * 64, b"a" * 32), (b"a" * 64, b"a" * 40), (b"", b"x"), (b"x", b""), (b"same" * 9, b"same" * 9)]
