@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import stored
+from ..storage import stored
+
 
 
 def _mirrored(edges: DataFrame) -> DataFrame:
