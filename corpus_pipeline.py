@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shalebed.llm import bpe, decontaminate, near_dedup, passages, quality
 from shalebed.llm.queries import table, tokenizer_path
-from shalebed.llm.words import stored
+from shalebed.storage import stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

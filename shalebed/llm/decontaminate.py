@@ -45,9 +45,13 @@ EDGES = re.compile(r"^[^\w$€£%]+|[^\w$€£%]+$|^[_$€£%]+(?=.)|(?<=.)[_$
 class Lexicon(dict):
     """What a word is by itself: a row of ``table`` (hash of its core, kind, whether a sentence ends with it)."""
 
+    ROW = np.dtype([("value", np.uint64), ("kind", np.int8), ("ends", bool)])
+    limit = 200_000
+
     def __init__(self):
         super().__init__()
-        self.rows: list[tuple[int, int, bool]] = []
+        self.table = np.zeros(0, self.ROW)
+        self.new: list[tuple[int, int, bool]] = []
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
@@ -58,19 +62,21 @@ class Lexicon(dict):
         kind = NUMBER if NUMBERS.fullmatch(core) else UNIT if low in UNITS else NAME if core[:1].isupper() and core[1:].islower() else LITERAL
         if not any(c.isalnum() for c in core) and low not in UNITS:
             low = ""
-        self[word] = len(self.rows)
-        self.rows.append((xxhash.xxh3_64_intdigest(low.encode()) if low else 0, kind, text.rstrip("\"'”’)]")[-1:] in (".", "!", "?", ":", "…")))
+        self[word] = len(self)
+        self.new.append((xxhash.xxh3_64_intdigest(low.encode()) if low else 0, kind, text.rstrip("\"'”’)]")[-1:] in (".", "!", "?", ":", "…")))
         return self[word]
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Template hash, kind and value hash of the words of all texts, and how many each has; words without a core are left out."""
-        if len(self) > 1_000_000:
+        if len(self) > self.limit:
             self.clear()
-            self.rows.clear()
+            self.table = self.table[:0]
         split = [t.split() for t in texts]
         lens = np.fromiter(map(len, split), np.int64, len(split))
-        ids = np.fromiter((self[w] for words in split for w in words), np.int64, int(lens.sum()))
-        table = np.array(self.rows, dtype=[("value", np.uint64), ("kind", np.int8), ("ends", bool)])[ids]
+        ids = np.fromiter(map(self.__getitem__, [w for words in split for w in words]), np.int64, int(lens.sum()))
+        self.table = np.concatenate((self.table, np.array(self.new, self.ROW)))
+        self.new.clear()
+        table = self.table[ids]
         value, kind, ends = table["value"], table["kind"].copy(), table["ends"]
         begins = np.concatenate(([True], ends[:-1])) if len(ids) else np.zeros(0, bool)
         begins[starts(lens)[lens > 0]] = True

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .words import WordHashes, chunks, map_shared, mix, pack_counts, pack_sorted, partitions_for, per_doc, starts, unpack_counts, unpack_sorted, word_arrays, write_shared
 
 END = b"\n"  # no word has white space
-SLICE_BYTES, HELD, SPAN = 8 << 20, 4_000_000, 1 << 18
+SLICE_BYTES, HELD, SPAN = 4 << 20, 4_000_000, 1 << 18
 
 
 @dataclass(frozen=True)

@@ -32,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import WordHashes, chunks, mix, only_ids, pack_counts, pack_sorted, partitions_for, stored, unpack_counts, unpack_sorted, windows, word_arrays
+from ..storage import stored
+from .words import WordHashes, chunks, mix, only_ids, pack_counts, pack_sorted, partitions_for, unpack_counts, unpack_sorted, windows, word_arrays
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 OWN_TYPES = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch
 from . import bpe, chat, decontaminate, html_text, kneser_ney, near_dedup, passages, quality, sharding, url_filters
-from .words import scratch
 
 
 def tokenizer_path(name: str) -> str:

@@ -6,26 +6,26 @@ for the characters themselves, so ``bytes.split()`` finds the words of a whole t
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
     """64-bit hash of a word, remembered for as long as the memory is small."""
 
-    limit = 1_000_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -69,22 +69,16 @@ def per_doc(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(values)))[np.concatenate(([0], np.cumsum(lens)))])
 
 
-def texts_of(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.large_binary()).to_pylist()
-
-
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``limit`` bytes of text, or a single longer text; null counts as empty."""
     for batch in batches:
-        texts = [t or b"" for t in texts_of(batch.column(column))]
-        at = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(at, i - at), texts[at:i]
-                at, size = i, 0
-            size += len(t) + 64
-        if at < len(texts):
-            yield batch.slice(at), texts[at:]
+        texts = batch.column(column).cast(pa.large_binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) + 64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, to - at), [t or b"" for t in texts.slice(at, to - at).to_pylist()]
+            at = to
 
 
 def word_arrays(texts: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +108,9 @@ def unpack_counts(blob: bytes) -> np.ndarray:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of a frame that is read from files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the size of a frame that is read from files; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
@@ -123,27 +118,6 @@ def partitions_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bytes_each))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share.
-
-    Without that setting, a local session gets a folder that goes with the process and a
-    cluster the warehouse folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        base = tempfile.mkdtemp(prefix="shalebed-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    base = base or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/shalebed/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written to the shared folder and read again: a cut of the lineage that survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shared_fs(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a shared folder as workers reach it, and the path in it."""
     fs, at = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
@@ -185,7 +159,5 @@ def only_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id", how: str = "
     Up to ``broadcast_rows`` ids (16 MB of longs, counted first) are broadcast so that the
     texts stay where they are; more are joined by a shuffle.
     """
-    from pyspark.sql import functions as F
-
     small = ids.select(column).limit(broadcast_rows + 1).count() <= broadcast_rows
     return df.join(F.broadcast(ids.select(column)) if small else ids.select(column), column, how)
