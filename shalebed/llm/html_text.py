@@ -25,9 +25,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .words import chunks
 
-MIN_PAGES = 8
+MIN_PAGES, MOST_BROADCAST = 8, 1_000_000
 
 #: Fixed values of HTML: elements without an end, elements of raw text, elements that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -127,18 +128,10 @@ def candidate(e: Element) -> bool:
     return e.tag not in CONTENT and e.tag not in ("", "html", "body") and (e.tag in CONTAINERS if e.inside else e.tag in BLOCK)
 
 
-def walk(root: Element) -> Iterator[Element]:
-    todo = [root]
-    while todo:
-        e = todo.pop()
-        yield e
-        todo += [c for c in e.children if not isinstance(c, str)]
-
-
-def blocks(root: Element, template: frozenset[int] | set[int]) -> list[str]:
-    """The blocks of the page's content, in order."""
+def contents(root: Element) -> list[Element]:
+    """Where the content is: the outermost articles, else the outermost main, else the whole page."""
     tops, todo = [], [root]
-    while todo:  # the outermost articles, else the outermost main, else the whole page
+    while todo:
         e = todo.pop()
         if e.drop:
             continue
@@ -146,7 +139,22 @@ def blocks(root: Element, template: frozenset[int] | set[int]) -> list[str]:
             tops.append(e)
         else:
             todo += [c for c in reversed(e.children) if not isinstance(c, str)]
-    out, text, todo = [], [], list(reversed(tops or [root]))
+    return tops or [root]
+
+
+def walk(root: Element) -> Iterator[Element]:
+    """The elements of the content that no rule drops."""
+    todo = contents(root)
+    while todo:
+        e = todo.pop()
+        if not e.drop:
+            yield e
+            todo += [c for c in e.children if not isinstance(c, str)]
+
+
+def blocks(root: Element, template: frozenset[int] | set[int]) -> list[str]:
+    """The blocks of the page's content, in order."""
+    out, text, todo = [], [], list(reversed(contents(root)))
 
     def flush() -> None:
         if words := " ".join("".join(text).split()):
@@ -160,7 +168,8 @@ def blocks(root: Element, template: frozenset[int] | set[int]) -> list[str]:
         elif isinstance(e, str):
             text.append(entities.unescape(e))
         elif e.drop or template and e.hash in template and candidate(e):
-            text.append(" ")
+            if e.tag in BLOCK:
+                flush()
         elif e.tag == "br":
             text.append(" ")
         else:
@@ -182,7 +191,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page, host, content, hashes = [], [], [], []
         for key, of, raw in zip(batch.column("key").to_pylist(), batch.column("host").to_pylist(), texts, strict=True):
             root = hashed(parse(raw.decode("utf-8", "replace")))
-            own = {e.hash for e in walk(root) if not e.drop and candidate(e) and e.children}
+            own = {e.hash for e in walk(root) if candidate(e) and e.children}
             if own:
                 said = xxhash.xxh3_64_intdigest("\n".join(blocks(root, frozenset())))
                 page += [key] * len(own)
@@ -203,7 +212,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(key, host, content, subtree): the distinct subtrees of each page that its rules don't drop anyway."""
+    """(key, host, content, subtree): the distinct subtrees of each page's content that no rule drops anyway."""
     return pages.select("key", "host", "html").mapInArrow(_subtrees, "key long, host string, content long, subtree long")
 
 
@@ -217,11 +226,14 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url and main text of every page.
 
     A page meets its template through its own subtrees only, so no row ever holds more hashes
-    than its page has elements.
+    than its page has elements. Where few pages have any (their hashes are counted first), these
+    are broadcast and the pages stay where they are; else both are dealt by page.
     """
     page_id, url, html = (F.col(c) for c in ("page_id", "url", "html"))
     rows = pages.select(page_id.cast("long").alias("page_id"), url.cast("string").alias("url"), F.coalesce(html.cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"key": F.xxhash64("page_id", "url", "html"), "host": host_of(F.col("url"))})
-    found = subtrees(rows)
-    own = found.join(templates(found, min_pages), ["host", "subtree"], "left_semi").groupBy("key").agg(F.collect_set("subtree").alias("template"))
-    return rows.join(own, "key", "left").select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string")
+    found = stored(subtrees(rows), "subtrees")
+    own = stored(found.join(templates(found, min_pages), ["host", "subtree"], "left_semi").groupBy("key").agg(F.collect_set("subtree").alias("template")), "templates")
+    held = own.agg(F.coalesce(F.sum(F.size("template") + 2), F.lit(0))).first()[0]
+    met = rows.join(F.broadcast(own) if held <= MOST_BROADCAST else own, "key", "left")
+    return met.select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string")
