@@ -37,10 +37,10 @@ def total(counts: Column) -> Column:
 
 
 def entropy(counts: Column) -> Column:
-    """Shannon entropy of counts in bits; 0 of nothing."""
+    """Shannon entropy of counts in bits, log2(n) - sum(c log2(c)) / n; 0 of nothing."""
     n = total(counts)
-    h = F.aggregate(counts, F.lit(0.0), lambda s, c: s - F.when(c > 0, c / n * F.log2(c / n)).otherwise(0.0))
-    return F.when(n > 0, h).otherwise(0.0)
+    logs = F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.when(c > 0, c * F.log2(c)).otherwise(0.0))
+    return F.when(n > 0, F.greatest(F.log2(n) - logs / n, F.lit(0.0))).otherwise(0.0)
 
 
 def variety(counts: Column) -> Column:

@@ -35,9 +35,15 @@ def literal(line: Column) -> Column:
     return (F.regexp_count(line, F.lit(VARIABLE)) > MOST_VARIABLES) | (F.octet_length(line) > MOST_BYTES)
 
 
+#: What a line without any variable doesn't have.
+HINT = r"[0-9/\\]|[a-fA-F]{8}"
+
+
 def template_of(line: Column) -> Column:
-    """The line with a slot for each variable."""
-    return F.when(literal(line), line).otherwise(F.regexp_replace(line, VARIABLE, SLOT))
+    """The line with a slot for each variable; one pass of the pattern, over lines that can have one."""
+    cut = F.regexp_replace(line, VARIABLE, SLOT)
+    slots = (F.length(cut) - F.length(F.replace(cut, F.lit(SLOT), F.lit("")))) / len(SLOT)
+    return F.when(~F.rlike(line, F.lit(HINT)) | (F.octet_length(line) > MOST_BYTES), line).otherwise(F.when(slots > MOST_VARIABLES, line).otherwise(cut))
 
 
 def values_of(line: Column) -> Column:

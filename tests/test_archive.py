@@ -27,6 +27,12 @@ def frame(spark, texts, block):
     return spark.createDataFrame([(i, i // block, t) for i, t in enumerate(texts)], "line_no long, block_id long, line string")
 
 
+@pytest.fixture(autouse=True)
+def ask_the_index(monkeypatch):
+    """However small the lines are."""
+    monkeypatch.setattr(search, "SCANNED", 0)
+
+
 @pytest.fixture(scope="module")
 def built(spark):
     path = scratch(spark, "t")
@@ -44,7 +50,7 @@ def test_search_is_a_full_scan(built, term):
     assert built.count(term).first()[0] == len(want)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.data())
 def test_index_only_skips_blocks_that_cannot_match(built, data):
     line = data.draw(st.sampled_from(TEXT))
@@ -118,6 +124,11 @@ def test_many_candidates_are_a_semi_join(spark, monkeypatch):
     assert search.search(lines, index.blocks_of(lines), "needle").count() == 10
 
 
+def test_small_archives_are_scanned(built, monkeypatch):
+    monkeypatch.setattr(search, "SCANNED", 1 << 40)
+    assert not any("block_id" in f for f in pushed(built.search("connection"))) and built.search("connection").count() == 30
+
+
 def test_options():
     assert level(3).codec_level == 3 and not level(3).dictionary
     assert level(9).codec_level == 9 and level(22).dictionary_bytes == 1024 * 1024 and level(99).codec_level == 22

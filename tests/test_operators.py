@@ -54,6 +54,11 @@ def test_java_and_python_see_the_same(spark, lines):
         assert r.v == ([m[0] for m in templates.NAMED.finditer(r.line)] if len(templates.NAMED.findall(r.line)) <= 16 else [])
 
 
+def test_lines_without_a_hint_have_no_variable():
+    for text in (*VARIABLES, "deadbeef", "x deadbeefa y", "C:\\abc", "/abc", "plain words only"):
+        assert re.search(templates.HINT, text) or not templates.NAMED.search(text)
+
+
 def test_templates_rebuild(spark):
     lines = [*VARIABLES, "has <*> itself 5", "", " ".join(map(str, range(20)))]
     df = spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
