@@ -22,6 +22,7 @@ repeated rows are reported once each; other columns are ignored.
 from __future__ import annotations
 
 import re
+import string
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,10 +39,23 @@ WINDOW, ENOUGH, BLOCK = 8, 13, 2_000_000
 #: Units of measure and money.
 UNITS = frozenset("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg t lb lbs oz gram grams kilogram kilograms ton tons tonne tonnes pound pounds ounce ounces ml l liter liters litre litres gallon gallons ms s sec min h hr second seconds minute minutes hour hours day days week weeks month months year years percent % $ € £ usd eur gbp dollar dollars euro euros cent cents kmh mph kph hz khz mhz ghz kb mb gb tb w kw v a j kj cal kcal c f k degree degrees".split())
 LITERAL, NUMBER, NAME, UNIT = range(4)
-NUMBERS = re.compile(r"[+-]?\d[\d.,:/'-]*(?:st|nd|rd|th|%)?", re.I)
+NUMBERS = re.compile(r"\d[\d.,:/'-]*(?:st|nd|rd|th|%)?", re.I)
 EDGES = re.compile(r"^[^\w$€£%]+|[^\w$€£%]+$|^[_$€£%]+(?=.)|(?<=.)[_$€£%]+$")
 
 
+def core_of(text: str) -> str:
+    """A word without what stands around it; a sign of money or percent that stands alone stays."""
+    if text.isalnum():
+        return text
+    core = text.strip(string.punctuation)
+    if core and core[0].isalnum() and core[-1].isalnum():
+        return core
+    core = text
+    while (less := EDGES.sub("", core)) != core:
+        core = less
+    return core
+
+
 class Lexicon(dict):
     """What a word is by itself: a row of ``table`` (hash of its core, kind, whether a sentence ends with it)."""
 
@@ -55,12 +69,11 @@ class Lexicon(dict):
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
-        core = text
-        while (less := EDGES.sub("", core)) != core:
-            core = less
+        core = core_of(text)
         low = core.lower()
-        kind = NUMBER if NUMBERS.fullmatch(core) else UNIT if low in UNITS else NAME if core[:1].isupper() and core[1:].islower() else LITERAL
-        if not any(c.isalnum() for c in core) and low not in UNITS:
+        first = core[:1]
+        kind = NUMBER if first.isdigit() and NUMBERS.fullmatch(core) else UNIT if low in UNITS else NAME if first.isupper() and core[1:].islower() else LITERAL
+        if not first.isalnum() and low not in UNITS:
             low = ""
         self[word] = len(self)
         self.new.append((xxhash.xxh3_64_intdigest(low.encode()) if low else 0, kind, text.rstrip("\"'”’)]")[-1:] in (".", "!", "?", ":", "…")))
