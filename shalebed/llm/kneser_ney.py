@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordHashes, chunks, map_shared, mix, pack_counts, pack_sorted, partitions_for, per_doc, starts, unpack_counts, unpack_sorted, word_arrays, write_shared
+from .words import WordHashes, chunks, map_shared, mix, pack_counts, pack_sorted, partitions_for, per_doc, range_of, starts, unpack_counts, unpack_sorted, word_arrays, write_shared
 
 END = b"\n"  # no word has white space
 SLICE_BYTES, HELD, SPAN = 4 << 20, 4_000_000, 1 << 18
@@ -125,13 +125,12 @@ class Words:
 
     def __init__(self, path: str, sizes: tuple[int, ...]):
         self.path, self.sizes, self.first = path, sizes, np.concatenate(([0], np.cumsum(sizes)))
-        self.step = np.uint64(-(-(1 << 64) // len(sizes)))
         self.files: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, count) of sorted distinct hashes; -1 and 0 of an unknown word."""
         number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        edges = np.searchsorted((hashes // self.step).astype(np.int64), np.arange(len(self.sizes) + 1))
+        edges = np.searchsorted(range_of(hashes, len(self.sizes)), np.arange(len(self.sizes) + 1))
         for s in np.nonzero(np.diff(edges))[0].tolist():
             if not self.sizes[s]:
                 continue
@@ -150,10 +149,9 @@ def train(docs: DataFrame, path: str) -> Model:
     """Counts the texts of docs and stores the model at ``path``, a folder that all executors share."""
     rows = docs.select(F.col("text").cast("string").alias("text"))
     shards = partitions_for(docs)
-    step = np.uint64(-(-(1 << 64) // shards))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = WordHashes(), _Sums(lambda k: (k // step).astype(np.int64))
+        known, sums = WordHashes(), _Sums(lambda k: range_of(k, shards))
         for _, texts in chunks(batches, limit=SLICE_BYTES):
             yield from sums.add(_tokens(texts, known)[0])
         yield from sums.send()
@@ -193,7 +191,7 @@ def train(docs: DataFrame, path: str) -> Model:
         for kind, number, weight in [*((k, v, counts == k if k < 3 else counts >= 3) for k in (1, 2, 3)), (0, w, counts > 0)]:
             ids, n = np.unique(number[weight], return_counts=True)
             cut = np.flatnonzero(np.diff(ids // SPAN, prepend=-1))
-            out += [(int(ids[b] // SPAN), kind, pack_sorted(ids[b:e].astype(np.uint64)), pack_counts(n[b:e])) for b, e in zip(cut, [*cut[1:], len(ids)], strict=True)]
+            out += [(int(ids[b] // SPAN), kind, pack_sorted(ids[b:e].astype(np.uint64)), pack_counts(n[b:e])) for b, e in zip(cut, [*cut[1:], len(ids)], strict=False)]
         hist = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         out.append((0, 9, b"", pack_counts(np.array([*hist, *divmod(len(keys), 1 << 32)]))))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["span", "kind", "keys", "counts"])

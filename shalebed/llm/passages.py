@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import stored
-from .words import WordHashes, chunks, mix, only_ids, pack_counts, pack_sorted, partitions_for, unpack_counts, unpack_sorted, windows, word_arrays
+from .words import WordHashes, chunks, mix, only_ids, pack_counts, pack_sorted, partitions_for, range_of, unpack_counts, unpack_sorted, windows, word_arrays
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 OWN_TYPES = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
@@ -78,8 +78,6 @@ def reports(docs: DataFrame, n: int, shards: int) -> DataFrame:
     has another one in the slice; later, before: documents and the smaller ones of the slice
     that they share a window with.
     """
-    step = np.uint64(-(-(1 << 64) // shards))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, turn = WordHashes(), 0
         for batch, texts in chunks(batches, limit=SLICE_BYTES):
@@ -96,7 +94,7 @@ def reports(docs: DataFrame, n: int, shards: int) -> DataFrame:
             several = np.maximum.reduceat(doc, begin) != first
             least = np.repeat(first, np.diff(begin, append=len(h)))
             later = _distinct(doc[doc != least], least[doc != least])
-            shard = (h[begin] // step).astype(np.int64)
+            shard = range_of(h[begin], shards)
             rows = []
             for b, e in _slices(shard):
                 own, index = np.unique(first[b:e], return_inverse=True)
@@ -152,7 +150,7 @@ def _gather(table: pa.Table) -> pa.Table:
 def confirm(docs: DataFrame, n: int) -> DataFrame:
     """(doc, windows, before): the owners' recurring windows, and which documents share one with a smaller one."""
     parts = partitions_for(docs)
-    found = reports(docs, n, parts).groupBy("shard").applyInArrow(lambda t: _confirm(t, parts), "part int, owners binary, windows binary, later binary, before binary")
+    found = reports(docs, n, 2 * parts).groupBy("shard").applyInArrow(lambda t: _confirm(t, parts), "part int, owners binary, windows binary, later binary, before binary")
     return found.groupBy("part").applyInArrow(_gather, "doc long, windows binary, before long")
 
 
@@ -170,7 +168,7 @@ def passages(docs: DataFrame, confirmed: DataFrame, n: int) -> DataFrame:
                 _, first = np.unique(h[found], return_index=True)
                 where = np.sort(at[found[first]])
                 cut = np.nonzero(np.diff(where, prepend=-2) != 1)[0]
-                for b, e in zip(cut, [*cut[1:], len(where)], strict=True):
+                for b, e in zip(cut, [*cut[1:], len(where)], strict=False):
                     owners.append(doc)
                     out.append(b" ".join(words[where[b] : where[e - 1] + n]))
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(out, pa.binary())], ["owner", "passage"])
@@ -277,6 +275,8 @@ class Automaton:
 
 
 def _kept(words: list[bytes], spans: list[tuple[int, int]]) -> bytes:
+    if not spans:
+        return b" ".join(words)
     edges = [0, *(x for span in spans for x in span), len(words)]
     return b" ".join([w for b, e in zip(edges[::2], edges[1::2], strict=True) for w in words[b:e]])
 

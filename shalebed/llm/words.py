@@ -22,19 +22,14 @@ CHUNK_BYTES = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered for as long as the memory is small."""
+class WordHashes:
+    """64-bit hashes of words. Hashing again is faster than remembering where most words are rare."""
 
-    limit = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+    def __getitem__(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,6 +41,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def range_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """Which of ``shards`` equal ranges of 64-bit hashes each lies in, in their order."""
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
 def starts(lens: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(lens)[:-1])).astype(np.int64) if len(lens) else np.zeros(0, np.int64)
 
