@@ -1,0 +1,47 @@
+"""The registered queries against their SQL, and the pipeline against its stages by brute force."""
+
+import numpy as np
+import pytest
+from oracle import assert_same
+from test_operators import brute_components, brute_kept, pairs
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from shalebed.llm import decontaminate, quality, queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_sql(spark, sf_dir, name):
+    assert_same(queries.queries()[name](spark, sf_dir), queries.oracle_sql()[name], sf_dir)
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
+def test_runs(spark, sf_dir, name):
+    assert queries.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_pipeline(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {r.doc_id for r in quality.apply_policy(quality.ledger(docs)).collect() if r.kept}
+    rows = [r for r in pairs(docs) if r[0] in kept]
+    first = {i for i, _, c in brute_components(rows, 5, 80) if i == c}
+    rows = [r for r in rows if r[0] in first]
+    cut = {i: (n, t) for i, _, n, t in brute_kept(rows, 13)}
+    rows = [(i, cut[i][1] if cut[i][0] else t) for i, t in rows]
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = {r.doc_id for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    library = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in rows if i not in leaks}
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert got == want
+    for _, stage in (corpus_pipeline.STAGES[0], *corpus_pipeline.STAGES[2:4]):
+        assert stage(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_stages_at_the_edges(spark, sf_dir):
+    rows = [(1, "", "en", "s", 0), (2, None, None, None, None), (None, "a b c", "en", "s", 5), (3, "x y " * 40, "en", "s", 160), (3, "x y " * 40, "en", "s", 160)]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").withColumnRenamed("lang", "kept")
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            assert out.count() <= len(data) and set(docs.columns) - {"text"} <= set(out.columns)
