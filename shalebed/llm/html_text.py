@@ -1,13 +1,16 @@
 """HTML extraction by site template removal.
 
-Every page is parsed into elements. Each element's subtree is hashed; Spark counts, for each
-host, on how many pages of different content a subtree occurs. Subtrees that recur on
-``MIN_PAGES`` or more are the site's template and are deleted, together with elements whose
-tag or class says that they are no content. What is left of the article is written as blocks.
-
-Copies of one page count once, as a page's content is hashed beside its subtrees; and in an
-``article`` or ``main`` only containers can be template, never a heading, paragraph or list
-item, so that a sentence that many articles share stays.
+Every page is parsed into elements. The subtrees of the whole page are hashed, those of
+navigation, footers and advertisements too; Spark counts, for each host, on how many pages of
+different content a subtree occurs. Subtrees that recur on ``MIN_PAGES`` or more are the site's
+template and are deleted. Of the rarer ones, those go whose tag or class says that they are no
+content. What is left of the article is written as blocks; where an article is itself template,
+as a card that many pages show, the host's articles don't mark the content and all that is left
+of the page is written.
+
+Copies of one page count once, as a page's text is hashed beside its subtrees, without what the
+rules drop; and in an ``article`` or ``main`` only containers can be template, never a heading,
+paragraph or list item, so that a sentence that many articles share stays.
 
 Defined results: a null or empty html gives an empty text; an url without a host belongs to
 the host ''; repeated rows and equal page ids are treated one by one; other columns are
@@ -20,6 +23,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -42,6 +46,8 @@ WALLS = frozenset("html body article main section aside nav header footer div ta
 DROP = frozenset("head script style title noscript iframe noembed template svg canvas object nav aside footer form button select option textarea dialog menu map audio video".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search comment comments respond reply replies disqus discussion share sharing social related recommended pagination pager widget toolbar skip complementary contentinfo".split())
 CONTENT = frozenset(("article", "main"))
+#: Around the content or never shown; not a part of the template.
+WHOLE = frozenset(("", "html", "body", "head", "title"))
 CONTAINERS = frozenset("div section aside nav header footer form ul ol dl table figure details".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -125,36 +131,42 @@ def hashed(root: Element) -> Element:
 
 def candidate(e: Element) -> bool:
     """Whether the subtree may be a part of the site's template."""
-    return e.tag not in CONTENT and e.tag not in ("", "html", "body") and (e.tag in CONTAINERS if e.inside else e.tag in BLOCK)
+    return e.tag in CONTENT or e.tag not in WHOLE and e.tag in (CONTAINERS if e.inside else BLOCK)
 
 
-def contents(root: Element) -> list[Element]:
-    """Where the content is: the outermost articles, else the outermost main, else the whole page."""
+def contents(root: Element, template: frozenset[int] | set[int] = frozenset()) -> list[Element]:
+    """Where the content is: the outermost articles, else the outermost main, else the whole page; also the whole page where one of these is template."""
     tops, todo = [], [root]
     while todo:
         e = todo.pop()
         if e.drop:
             continue
-        if e.tag == "article" or e.inside:
+        if e.inside:
+            if e.hash in template and candidate(e):
+                return [root]
             tops.append(e)
-        else:
+        elif not (e.hash in template and candidate(e)):
             todo += [c for c in reversed(e.children) if not isinstance(c, str)]
     return tops or [root]
 
 
 def walk(root: Element) -> Iterator[Element]:
-    """The elements of the content that no rule drops."""
-    todo = contents(root)
+    """All elements of the page."""
+    todo = [root]
     while todo:
         e = todo.pop()
-        if not e.drop:
-            yield e
-            todo += [c for c in e.children if not isinstance(c, str)]
+        yield e
+        todo += [c for c in e.children if not isinstance(c, str)]
+
 
+def own_hashes(root: Element) -> set[int]:
+    """The hashes of a hashed page's subtrees that may be template."""
+    return {e.hash for e in walk(root) if e.children and candidate(e)}
 
-def blocks(root: Element, template: frozenset[int] | set[int]) -> list[str]:
-    """The blocks of the page's content, in order."""
-    out, text, todo = [], [], list(reversed(contents(root)))
+
+def blocks(root: Element, template: frozenset[int] | set[int], tops: list[Element] | None = None) -> list[str]:
+    """The blocks of the page's content or of the given elements, in order."""
+    out, text, todo = [], [], list(reversed(tops or contents(root, template)))
 
     def flush() -> None:
         if words := " ".join("".join(text).split()):
@@ -186,54 +198,79 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def salted(hashes: set[int], host: str) -> np.ndarray:
+    """The hashes as those of this host, as signed numbers."""
+    return (np.fromiter(hashes, np.uint64, len(hashes)) ^ np.uint64(xxhash.xxh3_64_intdigest(host))).view(np.int64)
+
+
+def said(root: Element) -> int:
+    """The hash of all text of the page but what the rules drop; of the elements where nothing else is left."""
+    text = "\n".join(blocks(root, frozenset(), [root]))
+    return (xxhash.xxh3_64_intdigest(text) if text else root.hash) - (1 << 63)
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in chunks(batches, "html"):
-        page, host, content, hashes = [], [], [], []
+        page, content, hashes = [], [], []
         for key, of, raw in zip(batch.column("key").to_pylist(), batch.column("host").to_pylist(), texts, strict=True):
             root = hashed(parse(raw.decode("utf-8", "replace")))
-            own = {e.hash for e in walk(root) if candidate(e) and e.children}
+            own = own_hashes(root)
             if own:
-                said = xxhash.xxh3_64_intdigest("\n".join(blocks(root, frozenset())))
                 page += [key] * len(own)
-                host += [of] * len(own)
-                content += [said - (1 << 63)] * len(own)
-                hashes += [h - (1 << 63) for h in own]
-        yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(host, pa.string()), pa.array(content, pa.int64()), pa.array(hashes, pa.int64())], ["key", "host", "content", "subtree"])
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in chunks(batches, "html"):
-        out = []
-        for raw, template in zip(texts, batch.column("template").to_pylist(), strict=True):
-            root = parse(raw.decode("utf-8", "replace"))
-            known = {h + (1 << 63) for h in template or ()}
-            out.append("\n\n".join(blocks(hashed(root) if known else root, known)))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+                content += [said(root)] * len(own)
+                hashes.append(salted(own, of))
+        yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(content, pa.int64()), pa.array(np.concatenate(hashes) if hashes else [], pa.int64())], ["key", "content", "subtree"])
+
+
+def _extract(known: np.ndarray | None):
+    """Texts without the template that ``known`` (sorted) has, or else the page's row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches, "html"):
+            rows = batch.column("template").to_pylist() if known is None else [known] * len(texts)
+            out = []
+            for raw, of, template in zip(texts, batch.column("host").to_pylist(), rows, strict=True):
+                root, own = parse(raw.decode("utf-8", "replace")), set()
+                if template is not None and len(template):
+                    own = own_hashes(hashed(root))
+                    here = salted(own, of)
+                    if known is None:
+                        hit = np.isin(here, np.array(template, np.int64))
+                    else:
+                        hit = known[np.minimum(np.searchsorted(known, here), len(known) - 1)] == here
+                    own = {h for h, k in zip(own, hit.tolist(), strict=True) if k}
+                out.append("\n\n".join(blocks(root, own)))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+    return run
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(key, host, content, subtree): the distinct subtrees of each page's content that no rule drops anyway."""
-    return pages.select("key", "host", "html").mapInArrow(_subtrees, "key long, host string, content long, subtree long")
+    """(key, content, subtree): the distinct subtrees of each page, by hashes that differ from host to host."""
+    return pages.select("key", "host", "html").mapInArrow(_subtrees, "key long, content long, subtree long")
 
 
 def templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, subtree) that recur on min_pages pages of different content; counted by partial sums, host and all."""
-    once = found.select("host", "subtree", "content").distinct()
-    return once.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "subtree")
+    """The subtrees that recur on min_pages pages of different content; counted by partial sums, host and all."""
+    once = found.select("subtree", "content").distinct()
+    return once.groupBy("subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("subtree")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url and main text of every page.
 
-    A page meets its template through its own subtrees only, so no row ever holds more hashes
-    than its page has elements. Where few pages have any (their hashes are counted first), these
-    are broadcast and the pages stay where they are; else both are dealt by page.
+    Templates are counted first. Up to ``MOST_BROADCAST`` hashes go to all workers and the pages
+    stay where they are; beyond, a page meets its template through its own subtrees only, so
+    that no row ever holds more hashes than its page has elements, and both are dealt by page.
     """
     page_id, url, html = (F.col(c) for c in ("page_id", "url", "html"))
     rows = pages.select(page_id.cast("long").alias("page_id"), url.cast("string").alias("url"), F.coalesce(html.cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"key": F.xxhash64("page_id", "url", "html"), "host": host_of(F.col("url"))})
-    found = stored(subtrees(rows), "subtrees")
-    own = stored(found.join(templates(found, min_pages), ["host", "subtree"], "left_semi").groupBy("key").agg(F.collect_set("subtree").alias("template")), "templates")
-    held = own.agg(F.coalesce(F.sum(F.size("template") + 2), F.lit(0))).first()[0]
-    met = rows.join(F.broadcast(own) if held <= MOST_BROADCAST else own, "key", "left")
-    return met.select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string")
+    schema = "page_id long, url string, text string"
+    found = subtrees(rows)
+    recurring = stored(templates(found, min_pages), "templates")
+    if recurring.count() <= MOST_BROADCAST:
+        known = np.sort(np.array(recurring.toArrow().column("subtree"), np.int64))
+        return rows.select("page_id", "url", "host", "html").mapInArrow(_extract(known), schema)
+    own = found.join(recurring, "subtree", "left_semi").groupBy("key").agg(F.collect_set("subtree").alias("template"))
+    return rows.join(own, "key", "left").select("page_id", "url", "host", "html", "template").mapInArrow(_extract(None), schema)

@@ -443,6 +443,18 @@ def test_articles_keep_what_many_share(spark):
     assert {r.text for r in out} == {f"Same head\n\nContent {i}.\n\nShared closing line." for i in range(10)}
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_subtrees_of_the_whole_page_are_counted(spark, monkeypatch, most):
+    monkeypatch.setattr(html_text, "MOST_BROADCAST", most)
+    page = "<body><nav><ul><li>Home</li></ul></nav><article>Teaser card</article><div class='ad'>Buy</div><div><p>Content %d.</p></div><footer>Foot %d</footer></body>"
+    rows = [(i, "http://a.com/", page % (i, i)) for i in range(10)] + [(20 + i, "http://b.com/", page % (i, i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    keyed = df.withColumns({"key": F.col("page_id"), "host": html_text.host_of(F.col("url"))})
+    assert html_text.templates(html_text.subtrees(keyed)).count() == 5  # nav, ul, li, article and the div of class ad
+    out = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert out == {i: f"Content {i}." for i in range(10)} | {20 + i: "Teaser card" for i in range(3)}
+
+
 # -- 9 decontamination -----------------------------------------------------------------------
 
 ITEM = "A farmer named John has 12 apples and 30 pears. He gives 12 apples to Mary and 5 kg of flour to Bob. How many apples does John have left now?"
