@@ -4,12 +4,16 @@ Words lose the punctuation around them and their case; numbers, names (capitalis
 sentence) and units (after a number) become typed placeholders. Windows of ``WINDOW`` template
 words of the benchmark are hashed, and the windows of all documents are joined with them by
 hash. Hits on one alignment of a document and an item form a match; its slots are then read
-again: equal values of the item have to stand for equal values in the document, in each type.
+again: equal values of the item have to stand for equal values in the document, in each type;
+two values of the item may have become one. A capitalised word that begins a sentence may be a
+name or not, so windows are hashed both ways; where it differs it is a slot, which is left out
+if it collides, unless the item has it as a name elsewhere.
 So an item that was copied, and one that was asked again with other numbers and names, are
 found, and a text that only has the same shape isn't.
 
 A document is contaminated by an item if consistent matches cover ``ENOUGH`` of its words (of
-a shorter item, all but two) and half of these are literal.
+a shorter item, all but two) and half of these are literal, or if matches without any other
+value cover so many.
 
 The benchmark is a stated query set. Its windows go out in blocks of ``BLOCK`` (16 MB), one
 pass over the documents for each block, so that no bound on its size is needed.
@@ -79,8 +83,8 @@ class Lexicon(dict):
         self.new.append((xxhash.xxh3_64_intdigest(low.encode()) if low else 0, kind, text.rstrip("\"'”’)]")[-1:] in (".", "!", "?", ":", "…")))
         return self[word]
 
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Template hash, kind and value hash of the words of all texts, and how many each has; words without a core are left out."""
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Template hash, the same with sentence beginnings as names, kind and value hash of the words of all texts, and how many each has; words without a core are left out."""
         if len(self) > self.limit:
             self.clear()
             self.table = self.table[:0]
@@ -94,10 +98,19 @@ class Lexicon(dict):
         begins = np.concatenate(([True], ends[:-1])) if len(ids) else np.zeros(0, bool)
         begins[starts(lens)[lens > 0]] = True
         after_number = np.concatenate(([False], kind[:-1] == NUMBER)) if len(ids) else begins
-        kind[((kind == NAME) & begins) | ((kind == UNIT) & ~after_number)] = LITERAL
+        first = (kind == NAME) & begins
+        kind[first | ((kind == UNIT) & ~after_number)] = LITERAL
         some = value != 0
         template = np.where(kind == LITERAL, value, kind.astype(np.uint64))
-        return template[some], kind[some], value[some], per_doc(some, lens)
+        named = np.where(first, np.uint64(NAME), template)
+        return template[some], named[some], kind[some], value[some], per_doc(some, lens)
+
+
+def both_windows(template: np.ndarray, named: np.ndarray, lens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the windows, those with a sentence's beginning a second time with it as a name."""
+    (at, h), (_, other) = windows(template, lens, n), windows(named, lens, n)
+    more = np.nonzero(h != other)[0]
+    return np.concatenate((at, at[more])), np.concatenate((h, other[more]))
 
 
 class Items:
@@ -105,12 +118,12 @@ class Items:
 
     def __init__(self, rows: list[tuple[int | None, bytes]], lexicon: Lexicon):
         self.ids = [i for i, _ in rows]
-        template, self.kind, self.value, self.lens = lexicon.read([t for _, t in rows])
+        template, named, self.kind, self.value, self.lens = lexicon.read([t for _, t in rows])
         self.begin = starts(self.lens)
         self.where: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         item = np.repeat(np.arange(len(rows)), self.lens)
         for n in sorted({min(int(k), WINDOW) for k in self.lens if k}):
-            at, h = windows(template, self.lens, n)
+            at, h = both_windows(template, named, self.lens, n)
             for i, x in zip(at.tolist(), h.tolist(), strict=True):
                 if n == WINDOW or self.lens[item[i]] == n:
                     self.where[n, x].append((int(item[i]), i - int(self.begin[item[i]])))
@@ -118,10 +131,10 @@ class Items:
         self.sorted = {n: np.array(sorted(h for m, h in self.where if m == n), np.uint64) for n in self.sizes}
         self.seen = {n: np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=1 << 20) > 0 for n, h in self.sorted.items()}
 
-    def hits(self, template: np.ndarray, lens: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def hits(self, template: np.ndarray, named: np.ndarray, lens: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(position, window size, hash) of document windows that an item has."""
         for n in self.sizes:
-            at, h = windows(template, lens, n)
+            at, h = both_windows(template, named, lens, n)
             maybe = np.nonzero(self.seen[n][(h >> np.uint64(44)).astype(np.int64)])[0]
             maybe = maybe[np.isin(h[maybe], self.sorted[n])]
             yield from ((i, n, x) for i, x in zip(at[maybe].tolist(), h[maybe].tolist(), strict=True))
@@ -131,22 +144,41 @@ class Items:
 
         matches: for each alignment (document position of the item's first word), item positions.
         """
-        covered, literal, changed = set(), set(), 0
-        for shift, places in matches.items():
-            there, back, ok, others = {}, {}, True, 0
+        covered, literal, equal, changed = set(), set(), set(), 0
+        own = slice(int(self.begin[item]), int(self.begin[item] + self.lens[item]))
+        values, kinds = self.value[own].tolist(), self.kind[own].tolist()
+        names = {v for v, k in zip(values, kinds, strict=True) if k == NAME}
+        n = int(self.lens[item])
+
+        def read(shift: int, places: set[int]) -> tuple[bool, int, set[int], set[int], set[int]]:
+            there, ok, others, words, first = {}, True, 0, set(), []
+            other = {p for p in places if kinds[p] == LITERAL and values[p] != int(value[shift + p])}
             for p in sorted(places):
-                mine, k = int(self.value[self.begin[item] + p]), int(self.kind[self.begin[item] + p])
-                theirs = int(value[shift + p])
-                if k != LITERAL:
-                    ok &= there.setdefault((k, mine), theirs) == theirs and back.setdefault((k, theirs), mine) == mine
+                mine, k, theirs = values[p], kinds[p], int(value[shift + p])
+                if k == LITERAL and p not in other:
+                    words.add(p)
+                elif k == LITERAL and mine not in names:
+                    first.append((p, mine, theirs))
+                else:
+                    k = k or NAME
+                    ok &= there.setdefault((k, mine), theirs) == theirs
                     others += mine != theirs
+            left_out = {p for p, mine, theirs in first if there.setdefault((NAME, mine), theirs) != theirs}
+            return ok, others + len(first) - len(left_out), words, left_out, other
+
+        for shift, places in matches.items():
+            ok, others, words, left_out, other = read(shift, places)
+            if not ok and other:  # as literals
+                size = min(n, WINDOW)
+                places = {q for p in places if all(x in places and x not in other for x in range(p, p + size)) for q in range(p, p + size)}
+                ok, others, words, left_out, other = read(shift, places)
             if ok:
-                covered |= places
-                literal |= {p for p in places if self.kind[self.begin[item] + p] == LITERAL}
+                covered |= places - left_out
+                literal |= words
+                equal |= places if not others and not left_out else set()
                 changed += others
-        n = int(self.lens[item])
         need = min(ENOUGH, max(1, n - 2))
-        if len(covered) < need or 2 * len(literal) < len(covered):
+        if len(covered) < need or 2 * len(literal) < len(covered) and len(equal) < need:
             return None
         return len(covered), changed, changed == 0
 
@@ -180,10 +212,10 @@ def _search(block: list[tuple[int | None, bytes]]):
         lexicon = Lexicon()
         items = Items(block, Lexicon())
         for batch, texts in chunks(batches):
-            template, kind, value, lens = lexicon.read(texts)
+            template, named, kind, value, lens = lexicon.read(texts)
             doc = np.repeat(np.arange(len(lens)), lens)
             matches: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-            for at, n, h in items.hits(template, lens):
+            for at, n, h in items.hits(template, named, lens):
                 for item, p in items.where[n, h]:
                     matches[int(doc[at]), item][at - p].update(range(p, p + n))
             ids, out = batch.column("doc_id"), []

@@ -475,6 +475,37 @@ def test_leaks(spark):
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0 and decontaminate.leaks(df.limit(0), bench).count() == 0
 
 
+def leak_of(spark, item, text):
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "and so it was that the long day ended. " + text + " And so it was that night.")], "doc_id long, text string")
+    found = decontaminate.leaks(docs, bench).collect()
+    assert (decontaminate.clean(docs, bench).count() == 0) == bool(found)
+    return [(r.n_covered, r.n_item_words, r.n_changed_slots, r.verbatim) for r in found]
+
+
+def test_leak_of_more_numbers_than_words(spark):
+    item = "Compute 48 / 6 + 12 * 3 - 7 and then add 15 to get 46"
+    assert leak_of(spark, item, item) == [(13, 13, 0, True)]
+    assert leak_of(spark, item, item.replace("48", "49").replace("15", "16")) == []
+
+
+def test_leak_with_one_value_for_two(spark):
+    item = "a shop sold 3 red boxes and 5 green boxes to every one of the customers that came in that day"
+    assert leak_of(spark, item, item.replace("3", "4").replace("5", "4")) == [(21, 21, 2, False)]
+    both = "a shop sold 3 red boxes and 3 green boxes to every one of the customers that came in"
+    assert leak_of(spark, both, both.replace("3", "4", 1)) == []
+
+
+def test_leak_with_names_that_begin_sentences(spark):
+    item = "Tom has 5 apples. Tom gives 2 to Mary. How many apples does Tom have left?"
+    assert leak_of(spark, item, item.replace("Tom", "Sam")) == [(16, 16, 3, False)]
+    assert leak_of(spark, item, item.replace("Tom", "Sam", 2)) == []  # Tom stands for both
+    long = item + " You may count them with the fingers of both of your hands before you give an answer."
+    assert leak_of(spark, long, long.replace("Tom", "Sam", 1).replace("Tom", "Sam", 1)) == [(28, 33, 0, True)]  # both beginnings are literal again
+    same = "The shop opens early in the morning every day. The shop closes late in the evening every single day."
+    assert leak_of(spark, same, same.replace("The", "A", 1)) and leak_of(spark, same, same.replace("The", "A", 1).replace("The", "His"))
+
+
 def test_leaks_in_blocks_against_word_windows(spark, sf_dir, docs, monkeypatch):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     index, want = defaultdict(set), set()
