@@ -247,7 +247,7 @@ def sketch_merge(spark, sf_dir):
 
 @query(LINES + ", q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id AS block_id, list_cosine_similarity(embedding::DOUBLE[], q.e::DOUBLE[]) AS score FROM embeddings, q WHERE vec_id < 8) SELECT block_id, round(max(score), 6) AS score, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS text FROM s JOIN lines USING (block_id) WHERE score >= 0 GROUP BY block_id")
 def search_similar_with_lines(spark, sf_dir):
-    own = table(spark, sf_dir, "embeddings").filter("vec_id < 8").withColumnRenamed("vec_id", "block_id")  # the vectors of the first blocks
+    own = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "block_id")
     found = vectors.above(own, first_vector(spark, sf_dir), 0.0, "block_id")
     return vectors.with_lines(found, opened(spark, sf_dir).lines).select("block_id", rounded("score"), F.size("lines").cast("long").alias("n_lines"), F.array_join("lines", "\n").alias("text"))
 

@@ -16,6 +16,15 @@ def test_runs(spark, sf_dir, name):
     assert catalog.queries()[name](spark, sf_dir).count() > 0
 
 
+def test_similar_blocks_of_all_vectors(spark, tmp_path):
+    docs = [(i, "\n".join(f"line {i} {k}" for k in range(256))) for i in range(12)]
+    vectors = [(i, [1.0, 0.1 * i]) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = catalog.queries()["search_similar_with_lines"](spark, str(tmp_path)).collect()
+    assert {r.block_id: r.n_lines for r in found} == {i: 256 for i in range(12)}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
