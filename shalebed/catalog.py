@@ -572,9 +572,12 @@ def apply_delta(spark, sf_dir):
 
 @query("SELECT source AS file_name, sum(octet_length(encode(text)))::BIGINT AS original_size, sum(length(text))::BIGINT AS compressed_size, round(sum(length(text)) / sum(octet_length(encode(text))), 6) AS ratio FROM documents GROUP BY ROLLUP (source)")
 def multi_file_list(spark, sf_dir):
-    # characters stand for compressed bytes, which SQL can't count
-    sizes = documents(spark, sf_dir).select(F.col("source").alias("file_name"), F.octet_length("text").alias("original_size"), F.length("text").alias("compressed_size"))
-    return files.totals(sizes).withColumn("ratio", F.round("ratio", 6))
+    # a member for each document, source/number, as a source may be larger than a worker; then summed by source
+    path, number = scratch(spark, "pack"), F.monotonically_increasing_id().cast("string")
+    files.pack(documents(spark, sf_dir).select(F.concat_ws("/", "source", number).alias("file_name"), B.payload(F.col("text")).alias("content")), path)
+    members = files.listing(spark, path).filter("file_name IS NOT NULL")
+    source = F.when(F.contains("file_name", F.lit("/")), F.regexp_extract("file_name", "(?s)^(.*)/[0-9]+$", 1))
+    return files.totals(members.withColumn("file_name", source)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("SELECT source AS file_name, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source")
@@ -595,7 +598,8 @@ def zstd_ratio(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN octet_length(encode(text)) = 0 THEN length(text) > 0 ELSE length(text) / octet_length(encode(text)) > 0.95 END AS stored FROM documents")
 def stored_fallback(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", B.would_bloat(F.octet_length("text"), F.length("text")).alias("stored"))
+    p = payloads(spark, sf_dir).withColumn("size", F.octet_length("data")).withColumn("frame", codec.compressed(F.col("data"), 3))
+    return p.select("doc_id", B.would_bloat(F.col("size"), F.octet_length("frame")).alias("stored"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -25,6 +25,17 @@ def test_similar_blocks_of_all_vectors(spark, tmp_path):
     assert {r.block_id: r.n_lines for r in found} == {i: 256 for i in range(12)}
 
 
+def test_sizes_are_of_compressed_bytes(spark, tmp_path):
+    docs = [(1, "a", "many words " * 900), (2, "a", "and more " * 900), (3, "b", "q7"), (4, "b", "")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = {r.file_name: r for r in catalog.queries()["multi_file_list"](spark, str(tmp_path)).collect()}
+    assert {k: r.original_size for k, r in sizes.items()} == {"a": 18000, "b": 2, None: 18002}
+    assert sizes["a"].compressed_size < 1000 and sizes["b"].compressed_size > 2
+    assert sizes[None].compressed_size == sizes["a"].compressed_size + sizes["b"].compressed_size and sizes["a"].ratio < 0.1
+    stored = {r.doc_id: r.stored for r in catalog.queries()["stored_fallback"](spark, str(tmp_path)).collect()}
+    assert stored[1] is stored[2] is False and stored[3] is True
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
