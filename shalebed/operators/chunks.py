@@ -27,7 +27,7 @@ def end_of() -> Column:
 
 
 def joined(chunks: DataFrame, name: str = "content") -> DataFrame:
-    """(file, content): the chunks in order, as one payload."""
+    """(file, content): the chunks in order, as one payload, which has to fit in a row (2 GB)."""
     parts = chunks.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("chunk_start", "payload"))).alias("ps"))
     return parts.select("file", F.aggregate("ps", F.lit(b"").cast("binary"), lambda s, p: F.concat(s, p["payload"])).alias(name))
 
@@ -53,8 +53,20 @@ def patched(chunks: DataFrame, changes: DataFrame) -> DataFrame:
     """Chunks with those of changes (file, chunk_id, payload) in place of their own; starts move on by the new sizes."""
     new = chunks.join(changes.select("file", "chunk_id", F.col("payload").alias("new"), F.lit(True).alias("changed")), ["file", "chunk_id"], "left")
     out = new.select("file", "chunk_id", F.when(F.col("changed"), F.col("new")).otherwise(F.col("payload")).alias("payload"))
-    before = Window.partitionBy("file").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
-    return out.withColumn("chunk_start", F.coalesce(F.sum(F.octet_length("payload")).over(before), F.lit(0)).cast("long")).select("file", "chunk_id", "chunk_start", "payload")
+    return starts_of(out, F.octet_length("payload").cast("long")).select("file", "chunk_id", "chunk_start", "payload")
+
+
+def starts_of(chunks: DataFrame, size: Column, together: int = 1 << 14) -> DataFrame:
+    """Adds chunk_start, the sizes of a file's earlier chunks.
+
+    Two levels, so that a file of many chunks is no single task: runs of ``together`` chunks are
+    added up, the sums of a file's runs run on, and each run adds up its own.
+    """
+    rows = chunks.withColumn("_size", size).withColumn("_run", F.expr(f"chunk_id DIV {together}"))
+    before = lambda *by: Window.partitionBy("file", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("file", "_run").agg(F.sum("_size").alias("_sum")).select("file", "_run", F.coalesce(F.sum("_sum").over(before("_run")), F.lit(0)).alias("_base"))
+    own = rows.withColumn("_own", F.coalesce(F.sum("_size").over(before("_run", "chunk_id")), F.lit(0)))
+    return own.join(sums, ["file", "_run"]).withColumn("chunk_start", (F.col("_base") + F.col("_own")).cast("long")).drop("_size", "_run", "_own", "_base")
 
 
 def appended(chunks: DataFrame, more: DataFrame, size: int = CHUNK) -> DataFrame:

@@ -1,9 +1,8 @@
 """Substring search, count, lookup and ranges over an archive.
 
 A search asks the index first, so that only blocks that can match are read. Blocks are few
-beside lines: up to ``LISTED`` candidates become a list in the filter, which prunes files and
-row groups by their extremes; more are a semi-join. Lines of less than ``SCANNED`` bytes are
-read at once, which takes less time than to ask.
+beside lines: up to ``LISTED`` candidates become a list in the filter, which prunes files, row
+groups and pages by their extremes; more are a semi-join.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .index import grams_of, may_contain
 
-LISTED, SCANNED = 1_000, 32 << 20
+LISTED = 1_000
 
 
 def candidates(blocks: DataFrame, term: str) -> DataFrame:
@@ -23,7 +22,7 @@ def candidates(blocks: DataFrame, term: str) -> DataFrame:
 
 def pruned(lines: DataFrame, blocks: DataFrame, term: str) -> DataFrame:
     """The lines of candidate blocks."""
-    if not grams_of(term) or int(str(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SCANNED:
+    if not grams_of(term):
         return lines
     found = candidates(blocks, term)
     ids = [r[0] for r in found.limit(LISTED + 1).collect()]
@@ -53,6 +52,12 @@ def first_matches(lines: DataFrame, blocks: DataFrame, term: str, n: int = 100)
     return search(lines, blocks, term).orderBy("line_no").limit(n)
 
 
+def limited(lines: DataFrame, blocks: DataFrame, term: str, n: int = 100) -> DataFrame:
+    """(shown, further): how many matches a search limited to n shows, and how many more there are."""
+    hits = count_matches(lines, blocks, term)
+    return hits.select(F.least("n_lines", F.lit(n)).cast("long").alias("shown"), F.greatest(F.col("n_lines") - n, F.lit(0)).cast("long").alias("further"))
+
+
 def highlighted(line: Column, term: str, before: str = "[", after: str = "]") -> Column:
     """The line with its first occurrence of the term marked."""
     if not term:
@@ -62,9 +67,9 @@ def highlighted(line: Column, term: str, before: str = "[", after: str = "]") ->
     return F.when(at > 0, marked).otherwise(line)
 
 
-def get_row(lines: DataFrame, line_no: int, block_size: int) -> DataFrame:
-    """One line by its number; the block follows from it and prunes the scan."""
-    return lines.filter((F.col("block_id") == line_no // block_size) & (F.col("line_no") == line_no))
+def get_row(lines: DataFrame, line_no: int, block_id: int) -> DataFrame:
+    """One line by its number; its block prunes the scan."""
+    return lines.filter((F.col("block_id") == block_id) & (F.col("line_no") == line_no))
 
 
 def get_rows(lines: DataFrame, first: int, last: int) -> DataFrame:

@@ -39,11 +39,10 @@ def literal(line: Column) -> Column:
 HINT = r"[0-9/\\]|[a-fA-F]{8}"
 
 
-def template_of(line: Column) -> Column:
-    """The line with a slot for each variable; one pass of the pattern, over lines that can have one."""
-    cut = F.regexp_replace(line, VARIABLE, SLOT)
+def template_of(line: Column, cut: Column) -> Column:
+    """The line with a slot for each variable, given what the pattern makes of it."""
     slots = (F.length(cut) - F.length(F.replace(cut, F.lit(SLOT), F.lit("")))) / len(SLOT)
-    return F.when(~F.rlike(line, F.lit(HINT)) | (F.octet_length(line) > MOST_BYTES), line).otherwise(F.when(slots > MOST_VARIABLES, line).otherwise(cut))
+    return F.when(cut.isNull() | (slots > MOST_VARIABLES), line).otherwise(cut)
 
 
 def values_of(line: Column) -> Column:
@@ -73,10 +72,18 @@ def rebuild(template: Column, values: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(values)), F.element_at(parts, 1), lambda s, i: F.concat(s, F.element_at(values, i), F.element_at(parts, i + 1)))
 
 
+def cut_up(lines: DataFrame) -> DataFrame:
+    """Adds template: one pass of the pattern, over lines that can have a variable; lines with the slot's own text stay literal."""
+    line = F.col("line")
+    plain = ~F.rlike(line, F.lit(HINT)) | (F.octet_length(line) > MOST_BYTES) | F.contains(line, F.lit(SLOT))
+    own = lines.withColumn("_cut", F.when(~plain, F.regexp_replace(line, VARIABLE, SLOT)))
+    return own.withColumn("template", template_of(line, F.col("_cut"))).drop("_cut")
+
+
 def encoded(lines: DataFrame) -> DataFrame:
-    """Adds template and vars; lines with the slot's own text stay literal."""
+    """Adds template and vars."""
     own = F.contains(F.col("line"), F.lit(SLOT))
-    return lines.withColumns({"template": F.when(own, F.col("line")).otherwise(template_of(F.col("line"))), "vars": F.when(own, F.array().cast("array<string>")).otherwise(values_of(F.col("line")))})
+    return cut_up(lines).withColumn("vars", F.when(own, F.array().cast("array<string>")).otherwise(values_of(F.col("line"))))
 
 
 def decoded(rows: DataFrame) -> DataFrame:
@@ -86,12 +93,12 @@ def decoded(rows: DataFrame) -> DataFrame:
 
 def mine(lines: DataFrame) -> DataFrame:
     """(template, n, first_line): how often each template occurs."""
-    return encoded(lines).groupBy("template").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
+    return cut_up(lines).groupBy("template").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
 
 
 def dictionary(lines: DataFrame) -> DataFrame:
     """(block_id, template_id, template, n): each block's templates, numbered by first appearance, keyed by their text."""
-    each = encoded(lines).groupBy("block_id", "template").agg(F.count("*").alias("n"), F.min("line_no").alias("first"))
+    each = cut_up(lines).groupBy("block_id", "template").agg(F.count("*").alias("n"), F.min("line_no").alias("first"))
     number = F.row_number().over(Window.partitionBy("block_id").orderBy("first")) - 1
     return each.select("block_id", number.cast("long").alias("template_id"), "template", "n")
 
@@ -103,7 +110,8 @@ def parse_timestamp_ms(text: Column) -> Column:
     iso = F.regexp_extract(text, r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)", 1)
     digits = F.regexp_extract(text, r"^(\d{10,13})(?!\d)", 1)
     number = F.try_to_number(F.when(digits != "", digits), F.lit("9999999999999")).cast("long")
-    ms = lambda t, fmt: F.unix_millis(F.try_to_timestamp(t, F.lit(fmt)))
+    # times without a zone are in UTC, whatever the session's zone is
+    ms = lambda t, fmt: F.unix_millis(F.try_to_timestamp(F.concat(t, F.lit(" +0000")), F.lit(fmt + " xx")))
     return (
         F.when(compact != "", ms(F.concat(century, compact), "yyyyMMdd HHmmss"))
         .when(iso != "", ms(iso, "yyyy-MM-dd HH:mm:ss"))

@@ -87,7 +87,11 @@ def project_array(v: np.ndarray, dim: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+    """Lists of one length as rows; lists that differ, or null ones, are an error."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(column) and (column.null_count or len(flat) % len(column) or (np.diff(column.offsets.to_numpy()) != len(flat) // len(column)).any()):
+        raise ValueError("vectors of different lengths")
+    return flat.reshape(len(column), -1)
 
 
 def _lists(m: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -156,6 +160,7 @@ def dequantize_array(norms: np.ndarray, codes: np.ndarray, bits: int) -> np.ndar
 def pack(codes: np.ndarray, bits: int) -> list[bytes]:
     """Codes of each row, 8 / bits to a byte."""
     per = 8 // bits
+    codes = np.pad(codes, ((0, 0), (0, -codes.shape[1] % per)))
     parts = codes.astype(np.uint8).reshape(len(codes), -1, per)
     return [row.tobytes() for row in np.bitwise_or.reduce(parts << (bits * np.arange(per, dtype=np.uint8)), axis=2)]
 
@@ -203,6 +208,62 @@ def quantized_top(sketches: DataFrame, query, k: int, id_column: str, bits: int
     return sketches.select(id_column, quantized_cosine(F.col("codes"), asked, bits).alias("score")).orderBy(F.desc("score"), id_column).limit(k)
 
 
+def similar_sketches(sketches: DataFrame, query, threshold: float | None, k: int | None, id_column: str) -> DataFrame:
+    """(id, score) of packed sketches (id, norm, packed, dim, bits) against a vector, best first.
+
+    The query is projected and quantised once for each (dim, bits) that a batch has; codes are
+    unpacked a batch at a time.
+    """
+    v = np.asarray(query, np.float64)[None, :]
+    none = not v.size or np.linalg.norm(v) < TINY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dim, bits = b.column(3).to_numpy(), b.column(4).to_numpy()
+            score, norm = np.zeros(b.num_rows), b.column(1).to_numpy()
+            packed = b.column(2).to_pylist()
+            for d, w in sorted(set(zip(dim.tolist(), bits.tolist(), strict=True))):
+                own = np.flatnonzero((dim == d) & (bits == w))
+                mine = centroids(quantize_array(project_array(v, d), w)[1], w)[0]
+                theirs = centroids(unpack([packed[i] for i in own], w)[:, :d], w)
+                score[own] = np.clip(theirs @ mine / np.linalg.norm(theirs, axis=1) / np.linalg.norm(mine), -1, 1)
+            score[norm <= TINY] = 0
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], [id_column, "score"])
+
+    rows = sketches.select(id_column, "norm", "packed", "dim", "bits")
+    out = rows.mapInArrow(run, f"{id_column} {dict(rows.dtypes)[id_column]}, score double")
+    out = out.filter(F.lit(not none))
+    out = out if threshold is None else out.filter(F.col("score") >= threshold)
+    out = out.orderBy(F.desc("score"), id_column)
+    return out if k is None else out.limit(k)
+
+
+class SimilarityIndex:
+    """Sketches held in the executors' memory, added to and asked again and again."""
+
+    def __init__(self, spark, bits: int = 4, dim: int | None = None):
+        self.spark, self.bits, self.dim, self.own = spark, bits, dim, None
+
+    def add(self, vectors: DataFrame, id_column: str = "block_id", vector_column: str = "embedding") -> SimilarityIndex:
+        new = quantize(vectors.withColumnRenamed(id_column, "block_id"), self.bits, "block_id", vector_column, self.dim).drop("codes").persist()
+        self.own = new if self.own is None else self.own.unionByName(new)
+        return self
+
+    def query(self, query, threshold: float) -> DataFrame:
+        return self._asked(query, threshold, None)
+
+    def query_top(self, query, k: int) -> DataFrame:
+        return self._asked(query, None, k)
+
+    def _asked(self, query, threshold: float | None, k: int | None) -> DataFrame:
+        if self.own is None:
+            return self.spark.createDataFrame([], "block_id long, score double")
+        return similar_sketches(self.own, query, threshold, k, "block_id")
+
+    def count(self) -> int:
+        return 0 if self.own is None else self.own.count()
+
+
 def with_lines(found: DataFrame, lines: DataFrame) -> DataFrame:
     """(block_id, score, lines) of similar blocks."""
     texts = lines.join(found.select("block_id"), "block_id", "left_semi").groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))

@@ -9,7 +9,11 @@ KIB = 1024
 
 @dataclass(frozen=True)
 class ArchiveOptions:
-    """Settings of a writer; ``codec_level`` is zstd's, as it reaches the Parquet writer."""
+    """Settings of a writer; ``codec_level`` is zstd's, as it reaches the Parquet writer.
+
+    ``raw`` and what goes with it (transform, auto_transform, auto_level, dictionary) belong to
+    ``sources.raw``; trigrams, templates and sketches to ``sources.archive``.
+    """
 
     block_size: int = 16_384
     codec_level: int = 1
@@ -37,6 +41,7 @@ class ArchiveOptions:
         return {"compression": "zstd", "parquet.compression.codec.zstd.level": str(self.codec_level)}
 
 
+#: The settings of the presets and of the levels.
 def preset(name: str) -> ArchiveOptions:
     """The settings for a kind of use."""
     new = ArchiveOptions()
@@ -63,3 +68,8 @@ def level(n: int) -> ArchiveOptions:
     if steps <= 0:
         return ArchiveOptions(codec_level=n, dictionary=False, dictionary_bytes=0, dictionary_sample_bytes=0)
     return ArchiveOptions(codec_level=n, dictionary_bytes=steps * 16 * KIB if n < 10 else KIB * KIB, dictionary_sample_bytes=steps * 256 * KIB if n < 10 else 20 * KIB * KIB)
+
+
+def detected(transform: str, level: int, dictionary_bytes: int) -> ArchiveOptions:
+    """Settings from what detection recommends: searchable, with trigrams."""
+    return ArchiveOptions(codec_level=level, dictionary=dictionary_bytes > 0, dictionary_bytes=dictionary_bytes, transform=transform, trigrams=True)

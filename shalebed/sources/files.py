@@ -1,4 +1,4 @@
-"""Archives of several files: a table partitioned by the file's name."""
+"""Archives of several files: frames in the order of the files' names, so that one file's are neighbours."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..operators.chunks import CHUNK, chunks_of, joined
+from ..operators.chunks import chunks_of, joined
 
 
 def checked(names: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def pack(files: DataFrame, path: str, level: int = 6, dictionary_bytes: int = 12
     rows = chunks_of(checked(files), "file_name", "content")
     frames = rows.select(F.col("file").alias("file_name"), "chunk_id", "chunk_start", F.octet_length("payload").alias("raw_bytes"), codec.compressed(F.col("payload"), level, dictionary).alias("frame"))
     sizes = files.select("file_name", F.octet_length("content").cast("long").alias("original_size"))
-    frames.write.parquet(f"{path}/frames")
+    # neighbours come together, and a large file is cut by its size
+    frames.hint("rebalance", "file_name").sortWithinPartitions("file_name", "chunk_id").write.option("compression", "none").parquet(f"{path}/frames")
     sizes.write.parquet(f"{path}/files")
     files.sparkSession.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
@@ -49,6 +50,3 @@ def extract(spark: SparkSession, path: str, names: list[str] | None = None) -> D
     out = checked(files).join(whole, "file_name", "left").withColumn("content", F.coalesce("content", F.lit(b"").cast("binary")))
     right = F.octet_length("content") == F.col("original_size")
     return out.select("file_name", F.when(right, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("a wrong size: "), F.col("file_name")))).alias("content"))
-
-
-__all__ = ["CHUNK", "checked", "extract", "listing", "pack", "totals"]

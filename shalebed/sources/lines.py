@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Keys whose counts are added up before the running sum over all.
-GROUP = 4096
+from ..storage import partitions_for, stored
+
+#: Splits whose starts are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def split_lines(text: Column) -> Column:
@@ -16,30 +20,39 @@ def split_lines(text: Column) -> Column:
     return F.split(whole, "\n", -1)
 
 
-def running_offsets(counts: DataFrame, key: str, n: str) -> DataFrame:
-    """Adds ``start``: the sum of n over all rows with a smaller key.
+def running_offsets(counts: DataFrame, order: list[str], n: str) -> DataFrame:
+    """Adds ``start``: the sum of n over all rows that come earlier in the order.
 
-    Two levels: groups of GROUP keys are added up, the running sum over the groups is the one
-    window without a partition (a row for each GROUP keys), and each group adds up its own.
+    Rows are dealt by ranges of the order, so that no range depends on how keys are spread, and
+    stored; a range adds up its own rows, and only the sums of ranges meet on the driver.
     """
-    grouped = counts.withColumn("g", F.floor(F.col(key) / GROUP))
-    before = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    sums = grouped.groupBy("g").agg(F.sum(n).alias("s")).select("g", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("g").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return grouped.join(sums, "g").withColumn("start", F.col("base") + F.coalesce(F.sum(n).over(own), F.lit(0))).drop("g", "base")
+    dealt = counts.repartitionByRange(partitions_for(counts), *order).sortWithinPartitions(*order)
+    ranged = stored(dealt.withColumn("range", F.spark_partition_id()), "offsets")
+    sums = sorted((r[0], r[1]) for r in ranged.groupBy("range").agg(F.sum(n)).collect())
+    before = accumulate((s for _, s in sums), initial=0)
+    bases = counts.sparkSession.createDataFrame([(k, b) for (k, _), b in zip(sums, before)], "range int, base long")
+    own = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("own", F.coalesce(F.sum(n).over(own), F.lit(0)))
+    return summed.join(F.broadcast(bases), "range").withColumn("start", F.col("base") + F.col("own")).drop("range", "base", "own")
 
 
 def lines_of(docs: DataFrame, block_size: int, key: str = "doc_id") -> DataFrame:
     """(doc_id, line_no, block_id, pos, line) of a table of texts, numbered by key and position.
 
-    Only the counts are shuffled for the numbers; a null text has no lines.
+    Rows of one key, and rows without one, come in the order of their texts' hashes; equal rows
+    one after another. Only counts by (key, hash) are sorted for the numbers; texts meet their
+    start by a join that Catalyst broadcasts where the counts are small. A null text has no lines.
     """
-    texts = docs.select(F.col(key).alias("doc_id"), "text").filter("text IS NOT NULL")
-    lines = texts.withColumn("lines", split_lines(F.col("text")))
-    starts = running_offsets(lines.select("doc_id", F.size("lines").alias("n")), "doc_id", "n").select("doc_id", "start")
-    each = texts.join(starts, "doc_id").select("doc_id", "start", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
-    line_no = (F.col("start") + F.col("pos")).cast("long")
-    return each.select("doc_id", line_no.alias("line_no"), F.expr(f"CAST((start + pos) DIV {block_size} AS BIGINT)").alias("block_id"), F.col("pos").cast("long").alias("pos"), "line")
+    rows = docs.select(F.col(key).alias("doc_id"), "text").filter("text IS NOT NULL").withColumn("tie", F.xxhash64("text"))
+    counts = rows.groupBy("doc_id", "tie").agg(F.first(F.size(split_lines(F.col("text")))).alias("n"), F.count("*").alias("copies"))
+    starts = running_offsets(counts.withColumn("rows", F.col("n") * F.col("copies")), ["doc_id", "tie"], "rows")
+    if starts.filter("copies > 1").limit(1).count():
+        rows = rows.dropDuplicates(["doc_id", "tie"])
+    own = starts.select(F.col("doc_id").alias("key"), F.col("tie").alias("of"), "n", "copies", "start")
+    texts = rows.join(own, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("tie") == F.col("of")))
+    each = texts.select("doc_id", "start", "n", F.posexplode(F.flatten(F.array_repeat(split_lines(F.col("text")), F.col("copies").cast("int")))).alias("at", "line"))
+    line_no = (F.col("start") + F.col("at")).cast("long")
+    return each.select("doc_id", line_no.alias("line_no"), F.expr(f"CAST((start + at) DIV {block_size} AS BIGINT)").alias("block_id"), F.expr("CAST(at % n AS BIGINT)").alias("pos"), "line")
 
 
 def read_lines(spark: SparkSession, path: str, block_size: int, recursive: bool = False) -> DataFrame:
@@ -52,13 +65,13 @@ def read_lines(spark: SparkSession, path: str, block_size: int, recursive: bool
     at = raw.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
     # ids ascend inside a partition, which a split never leaves
     counts = at.groupBy("source", "split").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    before = Window.orderBy("source", "split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("source", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    numbered = at.join(F.broadcast(starts) if starts.limit(100_001).count() <= 100_000 else starts, ["source", "split"])
+    starts = running_offsets(counts, ["source", "split"], "n").select("source", "split", "first", "start")
+    few = starts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    numbered = at.join(F.broadcast(starts) if few else starts, ["source", "split"])
     line_no = (F.col("start") + F.col("id") - F.col("first")).cast("long")
     return numbered.select("source", line_no.alias("line_no"), F.floor(line_no / block_size).cast("long").alias("block_id"), "line")
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, original_size, content) of files below a folder, one row each."""
+    """(file_name, original_size, content) of files below a folder, one row each; a file of 2 GB or more doesn't fit in a row."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file_name"), F.col("length").alias("original_size"), "content")

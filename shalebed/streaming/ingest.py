@@ -1,55 +1,41 @@
-"""Micro-batch ingestion: lines from a stream are appended to an archive.
+"""Micro-batch ingestion: lines from a stream are appended to an archive of lines.
 
-The id of a batch is stored with its lines, and a batch whose id is there already is left out,
-so that a batch that is run again after a failure is written once.
+A micro-batch is a batch of the archive, written and committed as any other; the stream's
+number of it is stored with the commit, and one that is there already is left out, so that a
+batch that is run again after a failure is written once. ``Archive`` opens the folder.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import index
+from ..options import ArchiveOptions
+from ..sources.archive import KIND, Archive, kind_of, write_meta
+from ..sources.lines import running_offsets
+from ..storage import stored
 
 
-def _known(spark: SparkSession, path: str) -> tuple[int, int, int]:
-    """(next line, next block, last batch) of what was written."""
-    try:
-        done = spark.read.parquet(f"{path}/batches").agg(F.max("next_line"), F.max("next_block"), F.max("batch_id")).first()
-        return (0, 0, -1) if done[0] is None else tuple(done)
-    except AnalysisException:
-        return 0, 0, -1
+def opened(spark: SparkSession, path: str, block_size: int, options: ArchiveOptions = ArchiveOptions()) -> Archive:
+    """The archive at a path, made if there is none."""
+    if kind_of(spark, path) == "plain":
+        write_meta(spark, path, KIND, "overwrite", block_size=block_size, trailing_newline=True, level=options.codec_level, trigrams=options.trigrams)
+    return Archive(spark, path)
 
 
 def append_batch(lines: DataFrame, batch_id: int, path: str, block_size: int) -> None:
-    """Appends one batch (source, line): numbers run on inside the batch by source and position.
-
-    Lines and index go to folders of the batch, replaced as a whole if it is run again; the row
-    in ``batches`` comes last and makes the batch count.
-    """
+    """Appends one batch (source, line): numbers run on inside the batch by source and position."""
     spark = lines.sparkSession
-    start, block, last = _known(spark, path)
-    if batch_id <= last:
+    archive = opened(spark, path, block_size)
+    if any(b["source_batch"] >= batch_id for b in archive.batches):
         return
-    at = lines.withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
-    held = at.persist()
-    try:
-        sizes = {r[0]: (r[1], r[2]) for r in held.groupBy("part").agg(F.count("*"), F.min("id")).collect()}
-        before, shift = 0, {}
-        for part, (n, first) in sorted(sizes.items()):
-            shift[part], before = before - first, before + n
-        if before:
-            moved = F.create_map(*[F.lit(x) for kv in shift.items() for x in kv])[F.col("part")]
-            position = F.col("id") + moved
-            rows = held.select("source", (position + start).cast("long").alias("line_no"), (F.floor(position / block_size) + block).cast("long").alias("block_id"), "line")
-            rows.write.mode("overwrite").parquet(f"{path}/lines/batch={batch_id}")
-            index.blocks_of(spark.read.parquet(f"{path}/lines/batch={batch_id}")).coalesce(1).write.mode("overwrite").parquet(f"{path}/blocks/batch={batch_id}")
-        done = (batch_id, start + before, block + -(-before // block_size))
-        spark.createDataFrame([done], "batch_id long, next_line long, next_block long").coalesce(1).write.mode("append").parquet(f"{path}/batches")
-    finally:
-        held.unpersist()
+    # stored once, as the numbers of a second run of the source need not be those of the first
+    at = stored(lines.select("source", F.monotonically_increasing_id().alias("id"), F.spark_partition_id().alias("part"), "line"), "batch")
+    counts = at.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    starts = running_offsets(counts, ["part"], "n").select("part", "first", "start")
+    rows = at.join(F.broadcast(starts), "part").select("source", (F.col("start") + F.col("id") - F.col("first")).cast("long").alias("line_no"), "line")
+    archive.append(rows, source_batch=batch_id)
 
 
 def text_stream(spark: SparkSession, path: str) -> DataFrame:

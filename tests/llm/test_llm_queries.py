@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from oracle import assert_same
-from test_operators import brute_components, brute_kept, pairs
+from test_llm_operators import brute_components, brute_kept, pairs
 from tokenizers import Tokenizer
 
 import corpus_pipeline

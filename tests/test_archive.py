@@ -27,12 +27,6 @@ def frame(spark, texts, block):
     return spark.createDataFrame([(i, i // block, t) for i, t in enumerate(texts)], "line_no long, block_id long, line string")
 
 
-@pytest.fixture(autouse=True)
-def ask_the_index(monkeypatch):
-    """However small the lines are."""
-    monkeypatch.setattr(search, "SCANNED", 0)
-
-
 @pytest.fixture(scope="module")
 def built(spark):
     path = scratch(spark, "t")
@@ -124,9 +118,75 @@ def test_many_candidates_are_a_semi_join(spark, monkeypatch):
     assert search.search(lines, index.blocks_of(lines), "needle").count() == 10
 
 
-def test_small_archives_are_scanned(built, monkeypatch):
-    monkeypatch.setattr(search, "SCANNED", 1 << 40)
-    assert not any("block_id" in f for f in pushed(built.search("connection"))) and built.search("connection").count() == 30
+def test_searches_ask_the_index_at_every_size(spark):
+    lines = [f"row {i}" for i in range(400)]
+    lines[123] = "a needle here"
+    a = archive.write(frame(spark, lines, 10), scratch(spark, "t"), ArchiveOptions(block_size=10))
+    hit, none = a.search("needle"), a.search("zzqzz")
+    assert any(f == "EqualTo(block_id,12)" or "block_id,12" in f or "In(block_id, [12])" in f for f in pushed(hit))
+    assert [r.line_no for r in hit.collect()] == [123]
+    assert none.count() == 0 and not pushed(none)  # no candidates: nothing is scanned
+
+
+def test_unfinished_batches_are_not_seen(spark):
+    """A writer that fails before its commit leaves lines that no reader sees and the next writer replaces."""
+    path = scratch(spark, "t")
+    a = archive.write(frame(spark, TEXT, 5), path, ArchiveOptions(block_size=5))
+    frame(spark, ["lost"], 5).write.parquet(f"{path}/lines/batch=1")
+    assert archive.Archive(spark, path).lines.count() == len(TEXT)
+    a.append(frame(spark, ["kept"], 5))
+    again = archive.Archive(spark, path)
+    assert again.search("lost").count() == 0 and again.search("kept").first().line_no == len(TEXT)
+    assert again.get_row(len(TEXT)).first().line == "kept" and again.get_row(len(TEXT) + 1).count() == 0
+
+
+def test_repeated_and_null_keys_keep_their_lines(spark):
+    docs = spark.createDataFrame([(1, "a\nb"), (1, "c"), (None, "d"), (1, "c"), (None, "e\nf"), (1 << 60, "g")], "doc_id long, text string")
+    got = lines_of(docs, 2).orderBy("line_no").collect()
+    assert [r.line_no for r in got] == list(range(8)) and sorted(r.line for r in got) == list("abccdefg")
+    assert {(r.doc_id, r.pos, r.line) for r in got} >= {(1, 0, "a"), (1, 1, "b"), (None, 0, "e"), (None, 1, "f"), (1 << 60, 0, "g")}
+    assert got[-1].line == "g" and [r.block_id for r in got] == [i // 2 for i in range(8)]
+    assert lines_of(docs.limit(0), 2).count() == 0
+
+
+def test_options_of_archives_are_kept(spark):
+    lines = frame(spark, [f"user {i} failed from 10.0.0.{i % 9}" for i in range(40)], 10)
+    a = archive.write(lines, scratch(spark, "t"), ArchiveOptions(block_size=10, trigrams=False, templates=True, sketches=True, sketch_dim=16))
+    assert a.search("user 7 ").count() == 1 and a.blocks.filter("tri_u IS NOT NULL").count() == 0
+    assert spark.read.parquet(f"{a.path}/templates").count() == 4
+    assert a.vector_report().first().asDict() == {"dim": 16, "bits": 4, "n_blocks": 4}
+
+
+def test_similar_blocks(spark):
+    import numpy as np
+
+    a = archive.write(frame(spark, [f"line {i}" for i in range(60)], 10), scratch(spark, "t"), ArchiveOptions(block_size=10))
+    assert a.similar([1.0] * 64, k=3).count() == 0 and a.vector_report().count() == 0
+    v = np.random.default_rng(4).normal(size=(6, 64))
+    a.attach(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "block_id long, embedding array<double>"))
+    for i in (0, 5):
+        best = a.similar(v[i], k=2).collect()
+        assert best[0].block_id == i and best[0].score > 0.97 and len(best) == 2
+        assert [r.block_id for r in a.similar(v[i], threshold=0.9).collect()] == [i]
+    assert a.similar_lines(v[3], k=1).first().lines == [f"line {i}" for i in range(30, 40)]
+    assert a.sketch(2).count() == 1 and a.similar([0.0] * 64, k=2).count() == 0
+    with pytest.raises(IndexError):
+        a.sketch(6)
+
+
+def test_payloads_of_blocks(spark, built):
+    import zstandard
+
+    got = {r.block_id: r for r in built.payloads().collect()}
+    assert len(got) == 5
+    texts = TEXT * 30
+    for i, r in got.items():
+        data = zstandard.decompress(bytes(r.payload))
+        assert data.decode() == "".join(t + "\n" for t in texts[50 * i : 50 * i + 50]) and len(data) == r.raw_bytes
+
+
+def test_limited_search_says_how_many_more(built):
+    assert tuple(built.limited("connection", 7).first()) == (7, 23) and tuple(built.limited("zzqzz", 7).first()) == (0, 0)
 
 
 def test_options():

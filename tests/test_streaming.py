@@ -28,3 +28,20 @@ def test_stream_counts(spark, tmp_path):
     q = ingest.counts(ingest.text_stream(spark, str(tmp_path)), "needle").writeStream.format("memory").queryName("seen").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("SELECT n_lines FROM seen").first()[0] == 2
+
+
+def test_a_streamed_archive_is_an_archive(spark, tmp_path):
+    from shalebed.sources.archive import Archive
+
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    for k, text in enumerate(("one needle\ntwo\n", "three\n", "\nfour needle\nfive\n")):
+        (src / f"{k}.log").write_text(text)
+        ingest.ingest(ingest.text_stream(spark, str(src)), out, str(tmp_path / "cp"), 2, once=True).awaitTermination(60)
+        time.sleep(1)
+    a = Archive(spark, out)
+    assert sorted(r.line_no for r in a.search("needle").collect()) == [0, 4] and a.count("needle").first()[0] == 2
+    assert [r.line for r in a.reconstruct().collect()] == ["one needle", "two", "three", "", "four needle", "five"]
+    assert a.get_row(5).first().line == "five" and a.stats().first().row_count == 6
+    a.append(spark.createDataFrame([(0, "six")], "line_no long, line string"))
+    assert Archive(spark, out).get_row(6).first().line == "six"
