@@ -1,7 +1,8 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-The distinct pieces of a chunk of texts are laid out one after another as symbols. An index
-maps each pair that has a merge to all its positions there. Active ranks are applied in
+The distinct pieces of a slice of a partition's texts (1 MB, or one longer text) are laid out
+one after another as symbols. An index maps each pair that has a merge to all its positions
+there; a slice at a time, as the index of a whole partition has no bound. Active ranks are applied in
 ascending order: every listed position of the pair that still holds it is merged, and the
 lists of the pairs that this makes at its two sides are extended. Pieces that were encoded
 before are remembered for as long as the memory is small.
@@ -11,13 +12,16 @@ a pattern that splits pieces, byte-level symbols with an end-of-word suffix, no
 decoding joins token strings by a space). Special tokens found in a text stand for themselves.
 
 Defined results: a null or empty text has no tokens and decodes to an empty text; each row is
-encoded on its own, so repeated rows and ids are no special case; other columns pass through.
+encoded on its own, so repeated rows and ids are no special case; other columns pass through,
+but for input columns with the names of the results, n_tokens, ids and decoded, which these
+replace.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import os
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -65,13 +69,14 @@ class Bpe:
         for r in range(len(self.pairs) - 1, -1, -1):
             self.first_use[self.pairs[r][0]] = self.first_use[self.pairs[r][1]] = r
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.begins = os.path.commonprefix(list(added))  # of every special token
         self.added = {s: np.uint32(i).tobytes() for s, i in added.items()}
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE))
         self.known: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text; a special token is a piece of its own."""
-        if self.special and "<|" in text and (parts := self.special.split(text))[1:]:
+        if self.special and self.begins in text and (parts := self.special.split(text))[1:]:
             return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.plain(part))]
         return self.plain(text)
 

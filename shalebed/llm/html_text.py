@@ -45,6 +45,9 @@ WALLS = frozenset("html body article main section aside nav header footer div ta
 #: Never content, and never content by a word of the class, id or role.
 DROP = frozenset("head script style title noscript iframe noembed template svg canvas object nav aside footer form button select option textarea dialog menu map audio video".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search comment comments respond reply replies disqus discussion share sharing social related recommended pagination pager widget toolbar skip complementary contentinfo".split())
+#: In a compound name the last word is what the element is, but for these; and it isn't what these negate or merely have.
+GENERIC = frozenset("container wrapper wrap inner outer list items item links link box slot bar area block blocks section left right top bottom buttons button unit panel row group".split())
+HAVING = frozenset("with without no not non has have is".split())
 CONTENT = frozenset(("article", "main"))
 #: Around the content or never shown; not a part of the template.
 WHOLE = frozenset(("", "html", "body", "head", "title"))
@@ -71,7 +74,15 @@ def unwanted(tag: str, attributes: str, inside: bool) -> bool:
     if HIDDEN.search(attributes):
         return True
     said = " ".join(a or b or c for a, b, c in MARKS.findall(attributes)).lower()
-    return bool(said) and tag not in CONTENT and not WORDS.isdisjoint(PARTS.split(said))
+    return bool(said) and tag not in CONTENT and any(map(unwanted_name, said.split()))
+
+
+def unwanted_name(name: str) -> bool:
+    """Whether a class, id or role names what is no content: by its head, as a related-work is a work and an ad-free text isn't an ad."""
+    parts = [p for p in PARTS.split(name) if p and not p.isdigit()]
+    while len(parts) > 1 and parts[-1] in GENERIC:
+        parts.pop()
+    return bool(parts) and parts[-1] in WORDS and not HAVING.intersection(parts[:-1])
 
 
 def parse(html: str) -> Element:

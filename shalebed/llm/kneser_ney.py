@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordHashes, chunks, map_shared, mix, pack_counts, pack_sorted, partitions_for, per_doc, range_of, starts, unpack_counts, unpack_sorted, word_arrays, write_shared
+from ..storage import partitions_for
+from .words import WordHashes, chunks, map_shared, mix, pack_counts, pack_sorted, per_doc, range_of, starts, unpack_counts, unpack_sorted, word_arrays, write_shared
 
 END = b"\n"  # no word has white space
 SLICE_BYTES, HELD, SPAN = 4 << 20, 4_000_000, 1 << 18

@@ -41,6 +41,8 @@ from .words import WordHashes, chunks, mix, only_ids, starts, windows, word_arra
 
 SAMPLES, ROWS, BITS, SET_BITS = 128, 4, 512, 1024
 BLOCK, NAMED = 1024, 2
+#: Members of buckets, 250 bytes each, for a task.
+TASK_ROWS = 500_000
 BANDS = SAMPLES // ROWS
 
 
@@ -221,7 +223,7 @@ def _once(a: np.ndarray, b: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(more[new])], ["a", "b", "more"])
 
 
-def named_pairs(members: DataFrame, percent: int, named: int) -> DataFrame:
+def named_pairs(members: DataFrame, percent: int, named: int, tasks: int) -> DataFrame:
     """(a, b, more): the candidates that the pieces of opened buckets name; more: a member has further ones."""
 
     def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -254,8 +256,7 @@ def named_pairs(members: DataFrame, percent: int, named: int) -> DataFrame:
             if a:
                 yield _once(np.concatenate(a), np.concatenate(b), np.concatenate(more))
 
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, more boolean")
+    return members.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, more boolean")
 
 
 def _and_end(items: Iterator) -> Iterator:
@@ -274,9 +275,10 @@ def linked(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFra
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     comps = joined(nodes.select("node", F.col("node").alias("comp")), confirmed(pairs, nodes, sets, percent))
     tested, named = pairs, NAMED
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-met.count() // TASK_ROWS))
     while True:
         members = opened(met, comps).join(nodes.select("node", "n_shingles", "sketch", "parity"), "node")
-        found = stored(named_pairs(members, percent, named).groupBy("a", "b").agg(F.max("more").alias("more")), "named")
+        found = stored(named_pairs(members, percent, named, tasks).groupBy("a", "b").agg(F.max("more").alias("more")), "named")
         pairs = stored(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
         further = found.filter("more").limit(1).count()
         comps = joined(comps, confirmed(pairs, nodes, sets, percent))

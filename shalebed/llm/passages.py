@@ -13,12 +13,15 @@
    words or more of a passage of a smaller doc_id is removed.
 
 A passage that a third of all documents share is reported once a slice and compiled once a
-shard; a document that inherits it from the smallest id of its slice asks for that document's
-passages. Documents without a recurring window never leave their place.
+shard. In a slice, a document is tied to the smallest one that it shares a window with; across
+slices, only that one is tied to the owner. So a document asks for the passages of its slice's
+smallest one and of that one's owners, and what a tie can multiply to is bounded by a slice.
+Documents without a recurring window never leave their place.
 
 Defined results: a null or empty text has no words; rows without doc_id are kept whole and
 own nothing; rows of one doc_id don't remove each other's words; a text shorter than n words
-keeps all of them; other columns pass through.
+keeps all of them; other columns pass through, whatever their names are: an own column whose
+name is taken gets an underscore behind it (``free_names``).
 """
 
 from __future__ import annotations
@@ -28,14 +31,15 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import stored
-from .words import WordHashes, chunks, mix, only_ids, pack_counts, pack_sorted, partitions_for, range_of, unpack_counts, unpack_sorted, windows, word_arrays
+from ..storage import partitions_for, stored
+from .words import WordHashes, chunks, free_names, mix, only_ids, pack_counts, pack_sorted, range_of, unpack_counts, unpack_sorted, windows, word_arrays
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, PART_BYTES = 2 << 20, 16 << 20
 OWN_TYPES = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
@@ -110,7 +114,10 @@ def reports(docs: DataFrame, n: int, shards: int) -> DataFrame:
 
 
 def _confirm(table: pa.Table, parts: int) -> pa.Table:
-    """What one range has found, dealt over parts by document: recurring windows with their owners, and who holds them beside."""
+    """What one range has found, dealt over parts by document: recurring windows with their owners, and who holds them beside.
+
+    tie: whether the pair is one of a slice (0), or ties a slice's smallest document to an owner (1).
+    """
     hashes, firsts, several, pairs = [], [], [], []
     for _, h, ids, index, many, later, before in zip(*(c.to_pylist() for c in table.columns), strict=True):
         hashes.append(unpack_sorted(h))
@@ -124,34 +131,40 @@ def _confirm(table: pa.Table, parts: int) -> pa.Table:
     begin = _groups(h)
     least = np.minimum.reduceat(doc, begin)
     owner = np.repeat(least, np.diff(begin, append=len(h)))
-    pairs.append((doc[doc != owner], owner[doc != owner]))
     recurs = np.logical_or.reduceat(many | (doc != owner), begin)
     own, what = least[recurs], h[begin][recurs]
-    later, before = _distinct(*map(np.concatenate, zip(*pairs, strict=True)))
-    rows = [(p, own[at].tobytes(), what[at].tobytes(), b"", b"") for p, at in _dealt(own, parts)]
-    rows += [(p, b"", b"", later[at].tobytes(), before[at].tobytes()) for p, at in _dealt(later, parts)]
-    return pa.table([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(5)], ["part", "owners", "windows", "later", "before"])
+    rows = [(p, own[at].tobytes(), what[at].tobytes(), b"", b"", 0) for p, at in _dealt(own, parts)]
+    ties = [_distinct(*map(np.concatenate, zip(*pairs, strict=True)))] if pairs else [(np.zeros(0, np.int64),) * 2]
+    ties.append(_distinct(doc[doc != owner], owner[doc != owner]))
+    for tie, (later, before) in enumerate(ties):
+        rows += [(p, b"", b"", later[at].tobytes(), before[at].tobytes(), tie) for p, at in _dealt(later, parts)]
+    return pa.table([pa.array([r[k] for r in rows], pa.binary() if k % 5 else pa.int32()) for k in range(6)], ["part", "owners", "windows", "later", "before", "tie"])
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    """Of one part of the documents: (doc, windows) of owners, (doc, before) of others, each once."""
-    own, what, later, before = (np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in (("owners", np.int64), ("windows", np.uint64), ("later", np.int64), ("before", np.int64)))
+    """Of one part of the documents: (doc, windows) of owners, (doc, before, tie) of others, each once."""
+    own, what = (np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in (("owners", np.int64), ("windows", np.uint64)))
     order = np.argsort(own)
     own, what = own[order], what[order]
     blobs = [what[b:e].tobytes() for b, e in _slices(own)]
-    later, before = _distinct(later, before)
+    pairs = []
+    for tie in (0, 1):
+        mine = table.filter(pa.compute.equal(table["tie"], tie))
+        pairs.append(_distinct(*(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in mine[c].to_pylist())]) for c in ("later", "before"))))
+    later, before = (np.concatenate(x) for x in zip(*pairs, strict=True))
     return pa.table({
         "doc": pa.array(np.concatenate((own[_groups(own)], later)), pa.int64()),
         "windows": pa.array([*blobs, *[None] * len(later)], pa.binary()),
         "before": pa.concat_arrays([pa.nulls(len(blobs), pa.int64()), pa.array(before, pa.int64())]),
+        "tie": pa.array(np.concatenate((np.zeros(len(blobs), np.int32), np.repeat(np.arange(2, dtype=np.int32), [len(x[0]) for x in pairs]))), pa.int32()),
     })
 
 
 def confirm(docs: DataFrame, n: int) -> DataFrame:
-    """(doc, windows, before): the owners' recurring windows, and which documents share one with a smaller one."""
-    parts = partitions_for(docs)
-    found = reports(docs, n, 2 * parts).groupBy("shard").applyInArrow(lambda t: _confirm(t, parts), "part int, owners binary, windows binary, later binary, before binary")
-    return found.groupBy("part").applyInArrow(_gather, "doc long, windows binary, before long")
+    """(doc, windows, before, tie): the owners' recurring windows, and which documents share one with a smaller one."""
+    parts = partitions_for(docs, PART_BYTES)
+    found = reports(docs, n, 2 * parts).groupBy("shard").applyInArrow(lambda t: _confirm(t, parts), "part int, owners binary, windows binary, later binary, before binary, tie int")
+    return found.groupBy("part").applyInArrow(_gather, "doc long, windows binary, before long, tie int")
 
 
 def passages(docs: DataFrame, confirmed: DataFrame, n: int) -> DataFrame:
@@ -179,10 +192,17 @@ def passages(docs: DataFrame, confirmed: DataFrame, n: int) -> DataFrame:
 
 
 def demand(confirmed: DataFrame) -> DataFrame:
-    """(doc_id, owner): whose passages each document may hold."""
-    pairs = confirmed.filter("before IS NOT NULL").select(F.col("doc").alias("doc_id"), F.col("before").alias("owner")).distinct()
-    further = pairs.select("doc_id", F.col("owner").alias("via")).join(pairs.select(F.col("doc_id").alias("via"), "owner"), "via").select("doc_id", "owner")
-    return pairs.unionByName(further).distinct()
+    """(doc_id, owner): whose passages each document may hold.
+
+    A tie of a slice is followed by the ties to owners only, never by another of its kind: a
+    document is the smallest of its own slice for no more documents than a slice has.
+    """
+    pairs = confirmed.filter("before IS NOT NULL")
+    inside = pairs.filter("tie = 0").select(F.col("doc").alias("doc_id"), F.col("before").alias("via"))
+    across = pairs.filter("tie = 1").select(F.col("doc").alias("via"), F.col("before").alias("owner")).distinct()
+    further = inside.distinct().join(across, "via").select("doc_id", "owner")
+    direct = pairs.select(F.col("doc").alias("doc_id"), F.col("before").alias("owner"))
+    return direct.unionByName(further).distinct()
 
 
 class Automaton:
@@ -289,12 +309,15 @@ def _rows(batch: pa.RecordBatch, columns: list[str], split: list[list[bytes]], s
 
 def dedup(docs: DataFrame, n: int = 13) -> DataFrame:
     """All columns of docs, then n_words, removed (spans of word numbers) and kept (the other words, joined by one space)."""
-    columns = [c for c in docs.columns if c not in OWN]
-    docs = docs.select(*columns).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    given, schema_in = docs.columns, docs.schema
+    # inside, the other columns have names that no own one has
+    inner = {c: c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(given)}
+    columns = [inner[c] for c in given]
+    docs = docs.select(*(F.col(f"`{c}`").alias(inner[c]) for c in given)).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     confirmed = stored(confirm(docs, n), "confirmed")
     asked = stored(demand(confirmed), "demand")
     found = passages(docs, confirmed, n)
-    parts = partitions_for(docs)
+    parts = partitions_for(docs, PART_BYTES)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
     affected = asked.select("doc_id").distinct()
     needed = asked.select(part.alias("part"), "owner").distinct().join(found, "owner").select("part", "owner", "passage")
@@ -327,4 +350,6 @@ def dedup(docs: DataFrame, n: int = 13) -> DataFrame:
     both = only_ids(docs, affected).select(*columns).withColumn("part", part).unionByName(needed, allowMissingColumns=True)
     dealt = both.repartition(parts, "part").sortWithinPartitions("part", F.col("owner").isNull())
     clean = only_ids(docs, affected, how="left_anti").select(*columns)
-    return dealt.mapInArrow(stream, schema).unionByName(clean.mapInArrow(plain, schema))
+    out = dealt.mapInArrow(stream, schema).unionByName(clean.mapInArrow(plain, schema))
+    back = [F.col(inner[f.name]).cast(f.dataType).alias(f.name) for f in schema_in]
+    return out.select(*back, *(F.col(c).alias(name) for c, name in zip(OWN, free_names(given, OWN), strict=True)))

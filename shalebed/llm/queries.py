@@ -74,11 +74,40 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of all documents, written and opened again."""
+    return quality.save_ledger(quality.ledger(table(spark, sf_dir, "documents")), scratch(spark, "ledger"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of all documents under the current policy."""
-    led = quality.ledger(table(spark, sf_dir, "documents"))
+    """The stored ledger of all documents under the current policy."""
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return quality.apply_policy(led).select(*first, "n_lines", "n_upper", "n_lower", "fail_mask", F.col("policy_version").cast("long").alias("policy_version"))
+    return quality.apply_policy(stored_ledger(spark, sf_dir)).select(*first, *quality.MEASURES[5:], "fail_mask", F.col("policy_version").cast("long").alias("policy_version"))
+
+
+def quality_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each policy keeps, by the stored ledger."""
+    return quality.policies(stored_ledger(spark, sf_dir))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, and what only it rejects."""
+    return quality.ablations(stored_ledger(spark, sf_dir))
+
+
+def sharding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The laws of op1, checked over all documents."""
+    out = op1_sharding(spark, sf_dir)
+    each = out.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("slots"))
+    gapless = (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("slots") == F.col("n"))
+    return each.agg(F.sum("n").alias("n_docs"), F.sum("b").alias("n_bytes"), F.bool_and(gapless).alias("gapless"), (F.max("shard") < 40).alias("within"))
+
+
+def sharding_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version 2 of the slot map, edited for one shard more: every move goes to the new shard or narrows a gap."""
+    out = sharding.grow(table(spark, sf_dir, "documents"), 40, 1, scratch(spark, "slot-map"))
+    moved = F.col("before") != F.col("after")
+    return out.agg(F.count("*").alias("n_docs"), F.sum("size").alias("n_bytes"), (F.sum(F.when(moved, F.col("size")).otherwise(0)) * 10 < F.sum("size")).alias("few_moved"), (F.countDistinct(F.when(moved, F.col("virtual_slot"))) > 0).alias("some_moved"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -93,13 +122,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_decontamination": op9_decontamination,
         "op10_quality": op10_quality,
+        "quality_policies": quality_policies,
+        "quality_ablations": quality_ablations,
+        "sharding_summary": sharding_summary,
+        "sharding_growth": sharding_growth,
     }
 
 
 #: Words as RE2 sees them; [^\x20\x09-\x0D]+ of the contracts.
 WORD = r"[^ \t\n\x0b\f\r]+"
 
-OP10 = rf"""
+#: The ledger by SQL.
+LEDGER = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
@@ -120,7 +154,10 @@ WITH d AS (
          coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
          len(lines)::BIGINT AS n_lines,
          length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
-         length(regexp_replace(text, '[^a-z]', '', 'g'))::BIGINT AS n_lower
+         length(regexp_replace(text, '[^a-z]', '', 'g'))::BIGINT AS n_lower,
+         length(regexp_replace(text, '[^0-9]', '', 'g'))::BIGINT AS n_digits,
+         len(list_filter(lines, lambda l: regexp_matches(l, '^[ \t\x0b\f\r]*[-*\u2022]')))::BIGINT AS n_bullet_lines,
+         len(list_filter(lines, lambda l: regexp_matches(l, '([.][.][.]|\u2026)[ \t\x0b\f\r]*$')))::BIGINT AS n_cut_lines
   FROM w LEFT JOIN cov USING (rid)
 ), f AS (
   SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END
@@ -128,18 +165,36 @@ WITH d AS (
     + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
     + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END
-    + CASE WHEN n_upper > n_lower THEN 32 ELSE 0 END)::BIGINT AS fail_mask FROM m
+    + CASE WHEN n_upper > n_lower THEN 32 ELSE 0 END
+    + CASE WHEN 100 * n_digits > 20 * word_chars THEN 64 ELSE 0 END
+    + CASE WHEN 100 * n_bullet_lines > 90 * n_lines THEN 128 ELSE 0 END
+    + CASE WHEN 100 * n_cut_lines > 30 * n_lines THEN 256 ELSE 0 END)::BIGINT AS fail_mask FROM m
 )
+""".replace("\\u2022", "\u2022").replace("\\u2026", "\u2026")
+
+OP10 = LEDGER + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_mask & 3) <> 0 AS base_failed,
-       (fail_mask & 55) = 0 AS kept, n_lines, n_upper, n_lower, fail_mask, 2::BIGINT AS policy_version FROM f
+       (fail_mask & 55) = 0 AS kept, n_lines, n_upper, n_lower, n_digits, n_bullet_lines, n_cut_lines, fail_mask, 2::BIGINT AS policy_version FROM f
+"""
+
+POLICIES = LEDGER + """
+SELECT version AS policy_version, mask, count(*) FILTER (fail_mask & mask = 0) AS n_kept, count(*) FILTER (fail_mask & mask <> 0) AS n_rejected,
+       count(*) FILTER (fail_mask & mask = 0 AND fail_mask & 55 <> 0) AS n_rescued FROM (VALUES (1, 3), (2, 55), (3, 511)) p(version, mask) LEFT JOIN f ON true GROUP BY ALL
 """
 
+ABLATIONS = LEDGER + """
+SELECT rule, count(*) FILTER (fail_mask & bit <> 0) AS n_failed, count(*) FILTER (fail_mask & 55 = bit) AS n_only
+FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('word_length', 16), ('shouting', 32)) r(rule, bit) LEFT JOIN f ON true GROUP BY rule
+"""
+
+OP1 = "SELECT count(*) AS n_docs, sum(octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS n_bytes, true AS {} , true AS {} FROM documents"
 
 OP4 = r"""
 WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 ), c AS (
-  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS ts FROM t GROUP BY conv_id
+  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS ts FROM t WHERE conv_id IS NOT NULL GROUP BY conv_id
+  UNION ALL SELECT NULL, [struct_pack(role := role, text := text)] FROM t WHERE conv_id IS NULL
 ), p AS (
   SELECT DISTINCT list_slice(ts, 1, n) AS ts FROM (SELECT ts, unnest(range(1, len(ts))) AS n FROM c)
 )
@@ -165,4 +220,7 @@ SELECT page_id, url, host, CAST(fetched AS VARCHAR) AS fetched, domain AS matche
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4, "op7_url_filters": OP7, "op10_quality": OP10}
+    return {
+        "op4_chat": OP4, "op7_url_filters": OP7, "op10_quality": OP10, "quality_policies": POLICIES, "quality_ablations": ABLATIONS,
+        "sharding_summary": OP1.format("gapless", "within"), "sharding_growth": OP1.format("few_moved", "some_moved"),
+    }

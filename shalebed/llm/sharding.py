@@ -4,9 +4,10 @@ Every record hashes into one of ``N_SLOTS`` virtual slots, for good. Spark adds
 of each slot; a map from slots to shards is packed from those sums, stored under a version,
 and edited when shards are added or loads drift. Only slots that the edit names move.
 
-Defined results: a null text counts as no bytes (size 16, CRC 0); a null doc_id hashes by the
-text alone, repeated rows stay together and are numbered in any order among themselves; other
-columns are ignored; an empty table gives an empty result.
+Defined results: a null text counts as no bytes (size 16, CRC 0); rows without doc_id are
+spread over the slots by where they lie, so that equal ones are no hot slot; repeated rows stay
+together and are numbered in any order among themselves; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..storage import stored
+
 N_SLOTS = 8192
 RECORD_BYTES = 16
 MAP_SCHEMA = "virtual_slot int, shard int, bytes long, n_rows long"
@@ -33,11 +36,12 @@ def slot_of(doc_id: Column, text: Column, n_slots: int = N_SLOTS) -> Column:
 def sized(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and virtual_slot of every record."""
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_slots)).cast("int")
     return docs.select(
         doc_id.alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + RECORD_BYTES).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        slot_of(doc_id, text, n_slots).alias("virtual_slot"),
+        F.when(doc_id.isNull(), spread).otherwise(slot_of(doc_id, text, n_slots)).alias("virtual_slot"),
     )
 
 
@@ -112,8 +116,22 @@ def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 
 def shard(docs: DataFrame, n_shards: int, path: str, n_slots: int = N_SLOTS) -> DataFrame:
-    """Packs and stores version 1 of the map at ``path`` and places all records by it."""
-    records = sized(docs, n_slots)
+    """Packs and stores version 1 of the map at ``path`` and places all records by it.
+
+    The records (28 bytes each, no text) are stored, so that their slots are decided once.
+    """
+    records = stored(sized(docs, n_slots), "records")
     of = loads(records)
     save_map(docs.sparkSession, path, 1, pack(of, n_shards), of)
     return place(records, load_map(docs.sparkSession, path, 1))
+
+
+def grow(docs: DataFrame, n_shards: int, more: int, path: str, n_slots: int = N_SLOTS) -> DataFrame:
+    """(doc_id, size, virtual_slot, before, after): shards by version 1 of the map, and by its edit for more shards, version 2."""
+    records, spark = stored(sized(docs, n_slots), "records"), docs.sparkSession
+    of = loads(records)
+    first = pack(of, n_shards)
+    save_map(spark, path, 1, first, of)
+    save_map(spark, path, 2, rebalance(first, of, n_shards + more), of)
+    old, new = (load_map(spark, path, v).select("virtual_slot", F.col("shard").alias(name)) for v, name in ((1, "before"), (2, "after")))
+    return records.join(F.broadcast(old), "virtual_slot").join(F.broadcast(new), "virtual_slot").select("doc_id", "size", "virtual_slot", "before", "after")

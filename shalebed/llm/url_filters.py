@@ -62,7 +62,11 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     active = near.join(by_month(intervals(entries), horizon), ["domain", "month"]).filter("since <= fetched AND (until IS NULL OR fetched < until)")
     verdict = active.groupBy("host", "fetched").agg(F.max(F.struct(F.length("domain").alias("n"), "domain", "action")).alias("v"))
     verdict = verdict.select("host", "fetched", F.col("v.domain").alias("matched"), F.col("v.action").alias("action"))
-    return rows.join(verdict, ["host", "fetched"], "left").select("page_id", "url", "host", "fetched", "matched", "action", F.coalesce(F.col("action") == "block", F.lit(False)).alias("blocked"))
+    # captures that match nothing for want of a host or a day stay out of the join, where they would be one hot key
+    asks = F.col("host").isNotNull() & F.col("fetched").isNotNull()
+    met = rows.filter(asks).join(verdict, ["host", "fetched"], "left").select("page_id", "url", "host", "fetched", "matched", "action")
+    none = rows.filter(~asks).select("page_id", "url", "host", "fetched", F.lit(None).cast("string").alias("matched"), F.lit(None).cast("string").alias("action"))
+    return met.unionByName(none).withColumn("blocked", F.coalesce(F.col("action") == "block", F.lit(False)))
 
 
 #: The list that the query is run with: domains of the six listed kinds under the three

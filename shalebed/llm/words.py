@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
@@ -107,15 +107,15 @@ def unpack_counts(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of a frame that is read from files; 0 where it has none."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
-
-
-def partitions_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
-    """Shuffle partitions: the session's number, more if a partition would take more than ``bytes_each`` of input."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bytes_each))
+def free_names(taken: list[str], wanted: list[str] | tuple[str, ...]) -> list[str]:
+    """The wanted names, each with as many underscores behind it as it takes to differ from all taken ones, in any case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shared_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -153,6 +153,24 @@ def map_shared(path: str, dtype: type) -> np.ndarray:
     return np.memmap(own, dtype, "r", shape=(size // np.dtype(dtype).itemsize,))
 
 
+def content_key(*columns: Column) -> list[Column]:
+    """Two independent 64-bit hashes of a row's values, as key_a and key_b: together they name its content."""
+    return [F.xxhash64(*columns).alias("key_a"), F.xxhash64(F.lit(1), *columns).alias("key_b")]
+
+
+def without_content(docs: DataFrame, keys: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of docs, all columns, whose text isn't one of those with these keys (distinct key_a, key_b).
+
+    Texts stay where they are: up to ``broadcast_rows`` keys (16 bytes each, counted first) are
+    broadcast, more are joined by a shuffle.
+    """
+    named = free_names(docs.columns, ["key_a", "key_b"])
+    keyed = docs.withColumns(dict(zip(named, content_key(F.coalesce(F.col("text").cast("string"), F.lit(""))), strict=True)))
+    few = keys.limit(broadcast_rows + 1).count() <= broadcast_rows
+    own = keys.select(*(F.col(k).alias(n) for k, n in zip(("key_a", "key_b"), named, strict=True)))
+    return keyed.join(F.broadcast(own) if few else own, named, "left_anti").select(*docs.columns)
+
+
 def only_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id", how: str = "left_semi", broadcast_rows: int = 2_000_000) -> DataFrame:
     """Rows of df whose id is (left_semi) or isn't (left_anti) in ids, distinct longs.
 
