@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from shalebed.llm import bpe, decontaminate, near_dedup, passages, quality
 from shalebed.llm.queries import table, tokenizer_path
+from shalebed.llm.words import free_names
 from shalebed.storage import stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents that the quality policy rejects go."""
+    """Operator 10: documents that the current policy rejects by the stored ledger go."""
     return quality.keep_good(docs)
 
 
@@ -23,10 +24,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: words of 13-word windows that an earlier document has are cut from the texts."""
     out = passages.dedup(docs)
-    cut = F.size("removed") > 0
-    changed = {"text": F.when(cut, F.col("kept")).otherwise(F.col("text"))}
+    _, removed, kept = free_names(docs.columns, passages.OWN)
+    cut = F.size(removed) > 0
+    changed = {"text": F.when(cut, F.col(kept)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(cut, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(cut, F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumns(changed).select(*docs.columns)
 
 
