@@ -28,7 +28,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a bigram model of six sevenths of them."""
+    """Scores of all documents by a trigram model of six sevenths of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = kneser_ney.held_out(F.col("doc_id"))
     model = kneser_ney.train(docs.filter(~held), scratch(spark, "kneser-ney"))

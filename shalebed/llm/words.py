@@ -99,6 +99,15 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def pack_longs(values: np.ndarray) -> bytes:
+    """64-bit values as byte planes, of which small ones leave most empty."""
+    return np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_longs(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
 def pack_counts(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
@@ -131,7 +140,12 @@ def write_shared(path: str, data: bytes) -> None:
     part = f"{at}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as out:
         out.write(data)
-    fs.move(part, at)
+    try:
+        fs.move(part, at)
+    except OSError:  # a store whose rename doesn't replace: a file of this name is a repeated task's, and the same
+        if fs.get_file_info(at).size != len(data):
+            raise
+        fs.delete_file(part)
 
 
 def map_shared(path: str, dtype: type) -> np.ndarray:

@@ -152,33 +152,43 @@ def test_equal_rows_without_id_are_no_hot_slot(spark):
 def brute_scores(rows):
     tokens = lambda t: [*(t or "").encode().lower().split(), b"\n"]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    uni, bi, n_docs = Counter(), Counter(), 0
+    uni, tri, n_docs = Counter(), Counter(), 0
+    triples = lambda x: zip([None, None, *x], [None, *x], x)
     for i, t in rows:
         if not held(i):
             x = tokens(t)
             uni.update(x)
-            bi.update(zip([None, *x], x))
+            tri.update(triples(x))
             n_docs += 1
+    bi = Counter((v, w) for _, v, w in tri)  # continuation counts
     cont = Counter(w for _, w in bi)
     hist = lambda c: tuple(sum(v == k for v in c.values()) for k in (1, 2, 3, 4))
-    D, E = (0, *kneser_ney.discounts(hist(bi))), (0, *kneser_ney.discounts(hist(cont)))
-    follow = defaultdict(lambda: [0, 0, 0, 0])
+    D, E, G = ((0, *kneser_ney.discounts(hist(c))) for c in (bi, cont, tri))
+    follow, behind = defaultdict(lambda: [0, 0, 0, 0]), defaultdict(lambda: [0, 0, 0, 0])
+    for (u, v, _), c in tri.items():
+        behind[u, v][min(c, 3)] += 1
+        behind[u, v][0] += c
     for (v, _), c in bi.items():
         follow[v][min(c, 3)] += 1
+        follow[v][0] += c
     V, N, T = len(uni), sum(uni.values()), len(bi)
     g = sum(E[min(x, 3)] for x in cont.values()) / T if T else 1
 
-    def p(v, w):
+    def p2(v, w):
         one = (max(cont[w] - E[min(cont[w], 3)], 0) / T if T else 0) + g / (V + 1)
-        c = n_docs if v is None else uni[v]
-        k = bi[v, w]
-        return (max(k - D[min(k, 3)], 0) + sum(D[j] * follow[v][j] for j in (1, 2, 3)) * one) / c if c else one
+        k, f = bi[v, w], follow.get(v)
+        return (max(k - D[min(k, 3)], 0) + sum(D[j] * f[j] for j in (1, 2, 3)) * one) / f[0] if f else one
+
+    def p(u, v, w):
+        k, f = tri[u, v, w], behind.get((u, v))
+        return (max(k - G[min(k, 3)], 0) + sum(G[j] * f[j] for j in (1, 2, 3)) * p2(v, w)) / f[0] if f else p2(v, w)
 
     out = []
     for i, t in rows:
         x = tokens(t)
-        out.append((i, held(i), len(x), sum(uni[w] > 0 for w in x), sum(math.log10((uni[w] + 1) / (N + V + 1)) for w in x), sum(math.log10(p(v, w)) for v, w in zip([None, *x], x))))
-    total = sum(p(b"the", w) for w in uni) + p(b"the", b"never seen")
+        out.append((i, held(i), len(x), sum(uni[w] > 0 for w in x), sum(math.log10((uni[w] + 1) / (N + V + 1)) for w in x), sum(math.log10(p(*k)) for k in triples(x))))
+    u, v = max(behind, key=lambda k: behind[k][0] if None not in k else 0, default=(None, None))
+    total = sum(p(u, v, w) for w in uni) + p(u, v, b"never seen")
     return out, total
 
 
@@ -202,6 +212,27 @@ def test_scores(spark, docs):
     assert sum(r[5] for r in held) > sum(r[4] for r in held)
 
 
+def test_tables_find_what_was_stored(tmp_path):
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 7, 40, 5000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        values = rng.integers(0, 400, (len(keys), 4)).astype(np.uint64) * (rng.random((len(keys), 4)) < 0.5)
+        values[::50] *= np.uint64(1 << 40)
+        (tmp_path / str(n)).write_bytes(kneser_ney.table_bytes(keys, values))
+        table = kneser_ney.Table(str(tmp_path / str(n)), 4)
+        assert (table.find(keys) == values).all() and not table.find(keys ^ np.uint64(1 << 40)).any()
+
+
+def test_hot_words_are_dealt_by_more_than_themselves(spark):
+    """One word is most of the text, so that its pairs are added up in the second step."""
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join("the" if rng.random() < 0.5 else f"w{rng.integers(0, 30)}" for _ in range(60))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, total = brute_scores(rows)
+    assert total == pytest.approx(1)
+    close(scored(spark, df), want)
+
+
 def test_score_edges(spark, edges):
     close(scored(spark, edges), brute_scores([(d, t) for d, t, _ in EDGES])[0])
     assert scored(spark, empty(spark)) == []
