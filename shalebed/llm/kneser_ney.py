@@ -36,6 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ from ..storage import partitions_for
 from .words import WordHashes, chunks, map_shared, mix, pack_longs, pack_sorted, per_doc, range_of, starts, unpack_longs, unpack_sorted, word_arrays, write_shared
 
 END = b"\n"  # no word has white space
-SLICE_BYTES, HELD, SPAN = 4 << 20, 2_000_000, 1 << 18
+SLICE_BYTES, HELD, SPAN = 2 << 20, 1_500_000, 1 << 18
 #: Rows of ``near``: words before, and of the pairs begun: continuation counts of 1, 2, 3 or more, and their sum.
 NEAR = 5
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
@@ -218,7 +219,7 @@ def _runs(keys: np.ndarray) -> np.ndarray:
 
 def _summed(keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
     """The distinct keys in order, the sums of their counts, and what else goes with a key."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # of equal keys any order will do
     keys, counts = keys[order], counts[order]
     begin = _runs(keys)
     return keys[begin], np.add.reduceat(counts, begin) if len(begin) else counts, *(x[order[begin]] for x in more)
@@ -253,6 +254,11 @@ def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
     return ((int(shard[b]), slice(b, e)) for b, e in zip(cut, [*cut[1:], len(shard)], strict=False))
 
 
+def narrow(shard: np.ndarray, shards: int) -> np.ndarray:
+    """Shard numbers in 16 bits where they fit, which are sorted by counting."""
+    return shard.astype(np.uint16) if shards <= 1 << 16 else shard
+
+
 class Words:
     """The numbers and counts of words, from the mapped files."""
 
@@ -297,7 +303,7 @@ def before(number: np.ndarray, lens: np.ndarray, begin: int) -> np.ndarray:
 
 
 PACKED = "shard int, keys binary, more binary, counts binary"
-ROWS = "kind int, part int, slot int, keys binary, counts binary"
+ROWS = "kind int, part int, turn int, slot int, keys binary, counts binary"
 _NEAR, _HOT, _HIST = 0, 1, 2
 
 
@@ -312,12 +318,12 @@ def _hist(counts: np.ndarray) -> np.ndarray:
     return np.array([*(np.count_nonzero(counts == k) for k in (1, 2, 3, 4)), len(counts)], np.uint64)
 
 
-def _near_rows(slot: int, ids: np.ndarray, counts: np.ndarray) -> list[tuple]:
-    """What is to be added to one column of ``near``, by spans of numbers; ids ascend."""
-    return [(_NEAR, span, slot, pack_sorted(ids[own]), pack_longs(counts[own])) for span, own in _by_shard((ids // np.uint64(SPAN)).astype(np.int64))]
+def _near_rows(slot: int, ids: np.ndarray, counts: np.ndarray, turn: int) -> list[tuple]:
+    """What is to be added to one column of ``near``, by spans of numbers; ids ascend. Rows of a span are added up by turns, then together."""
+    return [(_NEAR, span, turn, slot, pack_sorted(ids[own]), pack_longs(counts[own])) for span, own in _by_shard((ids // np.uint64(SPAN)).astype(np.int64))]
 
 
-def _pair_stats(v: np.ndarray, w: np.ndarray, cont: np.ndarray) -> list[tuple]:
+def _pair_stats(v: np.ndarray, w: np.ndarray, cont: np.ndarray, turn: int = 0) -> list[tuple]:
     """Rows for ``near`` of distinct pairs v w with all of their continuation count; v ascends."""
     begin, out = _runs(v), []
     ids = v[begin]
@@ -325,10 +331,10 @@ def _pair_stats(v: np.ndarray, w: np.ndarray, cont: np.ndarray) -> list[tuple]:
         return out
     for slot, is_ in ((1, cont == 1), (2, cont == 2), (3, cont >= 3)):
         n = np.add.reduceat(is_.astype(np.uint64), begin)
-        out += _near_rows(slot, ids[n > 0], n[n > 0])
-    out += _near_rows(4, ids, np.add.reduceat(cont, begin))
+        out += _near_rows(slot, ids[n > 0], n[n > 0], turn)
+    out += _near_rows(4, ids, np.add.reduceat(cont, begin), turn)
     follows, n = np.unique(w, return_counts=True)
-    return out + _near_rows(0, follows, n.astype(np.uint64))
+    return out + _near_rows(0, follows, n.astype(np.uint64), turn)
 
 
 def train(docs: DataFrame, path: str) -> Model:
@@ -360,13 +366,14 @@ def train(docs: DataFrame, path: str) -> Model:
     if n_words >= 2**32 - 1:
         raise ValueError(f"{n_words} different words; numbers have 32 bits")
     quota = max(1, n_tokens // shards)
-    half = np.uint64(32)
+    half, turns = np.uint64(32), isqrt(shards) + 1
 
     def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, words = WordHashes(), Words(path, word_sizes)
 
         def send(_: np.ndarray, counts: np.ndarray, pair: np.ndarray, w: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
-            order = np.lexsort((pair, shard))
+            order = np.argsort(pair)
+            order = order[np.argsort(narrow(shard[order], shards), kind="stable")]
             counts, pair, w, shard = counts[order], pair[order], w[order], shard[order]
             for s, own in _by_shard(shard):
                 yield from _table([(s, pack_sorted(pair[own]), w[own].view(np.uint8).reshape(-1, 4).T.tobytes(), pack_longs(counts[own]))], PACKED).to_batches()
@@ -384,12 +391,13 @@ def train(docs: DataFrame, path: str) -> Model:
 
     def store_trigrams(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
+        turn = shard % turns
         pair, counts = (np.concatenate([f(x) for x in table[c].to_pylist()]) for c, f in (("keys", unpack_sorted), ("counts", unpack_longs)))
         w = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for x in table["more"].to_pylist()])
         low = np.uint64((1 << 32) - 1)
         keys, counts, pair, w = _summed(tri_key(pair_key(pair & low, pair >> half), w.astype(np.uint64)), counts, pair, w)
         write_shared(f"{path}/tri/{shard}", table_bytes(keys, counts[:, None]))
-        out = [(_HIST, 0, 3, b"", pack_longs(_hist(counts)))]
+        out = [(_HIST, 0, turn, 3, b"", pack_longs(_hist(counts)))]
         # contexts
         order = np.argsort(pair, kind="stable")
         own, c = pair[order], counts[order]
@@ -408,11 +416,11 @@ def train(docs: DataFrame, path: str) -> Model:
             part = hot_shard(key[hot], shards)
             order = np.argsort(part, kind="stable")
             mine, n = both[hot][order], cont[hot][order]
-            out += [(_HOT, p, 0, pack_sorted(mine[x]), pack_longs(n[x])) for p, x in _by_shard(part[order])]
+            out += [(_HOT, p, 0, 0, pack_sorted(mine[x]), pack_longs(n[x])) for p, x in _by_shard(part[order])]
         v, w, cont, key = (x[~hot] for x in (v, w, cont, key))
         order = np.argsort(key)
         write_shared(f"{path}/con/{shard}", table_bytes(key[order], cont[order][:, None]))
-        out += [*_pair_stats(v, w, cont), (_HIST, 0, 2, b"", pack_longs(_hist(cont)))]
+        out += [*_pair_stats(v, w, cont, turn), (_HIST, 0, turn, 2, b"", pack_longs(_hist(cont)))]
         return _table(out, ROWS)
 
     def store_hot(table: pa.Table) -> pa.Table:
@@ -426,19 +434,19 @@ def train(docs: DataFrame, path: str) -> Model:
             out = []
             for k in np.unique(slot).tolist():
                 mine = np.flatnonzero(slot == k)
-                out.append((_NEAR, part, k, *(f(x) for f, x in zip((pack_sorted, pack_longs), _summed(np.concatenate([keys[i] for i in mine]), np.concatenate([counts[i] for i in mine])), strict=True))))
+                out.append((_NEAR, part, 0, k, *(f(x) for f, x in zip((pack_sorted, pack_longs), _summed(np.concatenate([keys[i] for i in mine]), np.concatenate([counts[i] for i in mine])), strict=True))))
             return _table(out, ROWS)
         both, cont = _summed(np.concatenate(keys), np.concatenate(counts))
         v, w = both >> half, both & np.uint64((1 << 32) - 1)
         key = pair_key(v, w)
         order = np.argsort(key)
         write_shared(f"{path}/hot/{part}", table_bytes(key[order], cont[order][:, None]))
-        return _table([*_pair_stats(v, w, cont), (_HIST, 0, 2, b"", pack_longs(_hist(cont)))], ROWS)
+        return _table([*_pair_stats(v, w, cont), (_HIST, 0, 0, 2, b"", pack_longs(_hist(cont)))], ROWS)
 
     def store_near(table: pa.Table) -> pa.Table:
         span, hists = table["part"][0].as_py(), {2: np.zeros(5, np.int64), 3: np.zeros(5, np.int64)}
         near = np.zeros((min(SPAN, n_words + 1 - span * SPAN), NEAR), np.uint64)
-        for kind, _, slot, keys, counts in zip(*(c.to_pylist() for c in table.columns), strict=True):
+        for kind, _, _, slot, keys, counts in zip(*(c.to_pylist() for c in table.columns), strict=True):
             if kind == _HIST:
                 hists[slot] += unpack_longs(counts).astype(np.int64)
             else:
@@ -448,7 +456,7 @@ def train(docs: DataFrame, path: str) -> Model:
         return pa.table({k: pa.array([v], pa.list_(pa.int64())) for k, v in (("words", seen), ("pairs", hists[2].tolist()), ("trigrams", hists[3].tolist()))})
 
     counted = rows.mapInArrow(count_trigrams, PACKED).groupBy("shard").applyInArrow(store_trigrams, ROWS)
-    summed = counted.groupBy("kind", "part").applyInArrow(store_hot, ROWS)
+    summed = counted.groupBy("kind", "part", "turn").applyInArrow(store_hot, ROWS)
     found = summed.groupBy("part").applyInArrow(store_near, "words array<long>, pairs array<long>, trigrams array<long>").collect()
     words, pairs, trigrams = (tuple(sum(r[k][i] for r in found) for i in range(5)) for k in ("words", "pairs", "trigrams"))
     return Model(path, word_sizes, n_tokens, n_docs, shards, quota, (discounts(words[:4]), discounts(pairs[:4]), discounts(trigrams[:4])), pairs[4], words)
@@ -477,7 +485,8 @@ class Scorer:
     def find(self, name: str, keys: np.ndarray, shard: np.ndarray, m: int) -> np.ndarray:
         """Rows of a table's keys, which lie in these shards; each key is looked up once."""
         out = np.zeros((len(keys), m), np.float64)
-        order = np.lexsort((keys, shard))
+        bits = np.uint64(max(1, (self.m.shards - 1).bit_length()))
+        order = np.argsort(shard.astype(np.uint64) << np.uint64(64) - bits | keys >> bits)
         for s, own in _by_shard(shard[order]):
             if (name, s) not in self.tables:
                 self.tables[name, s] = Table(f"{self.m.path}/{name}/{s}", m)
