@@ -48,6 +48,11 @@ def opened(spark: SparkSession, sf_dir: str) -> archive.Archive:
     return _archives[key]
 
 
+def forget() -> None:
+    """Lets the next query write the archive anew."""
+    _archives.clear()
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", B.payload(F.col("text")).alias("data"))
 

@@ -6,6 +6,7 @@ Counts of bytes need one pass over a value and no shuffle: an Arrow UDF returns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -26,10 +27,32 @@ def sample(data: Column, size: int = SAMPLE) -> Column:
     return F.substring(data, 1, size)
 
 
+def slices(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[slice]:
+    """Neighbouring values of about ``most`` bytes together, or a single larger one."""
+    at, ends = 0, np.cumsum(sizes)
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def _values(data: pd.Series) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The values with null as empty, their sizes, and which are null."""
+    none = data.isna().to_numpy()
+    own = [b"" if x else bytes(b) for b, x in zip(data, none, strict=True)]
+    return own, np.fromiter(map(len, own), np.int64, len(own)), none
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def histogram(data: pd.Series) -> pd.Series:
-    """How often each of the 256 bytes occurs."""
-    return data.map(lambda b: None if b is None else np.bincount(np.frombuffer(b, np.uint8), minlength=256))
+    """How often each of the 256 bytes occurs; many values are counted at once."""
+    values, sizes, none = _values(data)
+    out: list = []
+    for own in slices(sizes):
+        n = own.stop - own.start
+        at = np.repeat(np.arange(n) << 8, sizes[own]) + np.frombuffer(b"".join(values[own]), np.uint8)
+        out += list(np.bincount(at, minlength=n << 8).reshape(n, 256))
+    return pd.Series([None if x else h for h, x in zip(out, none, strict=True)], dtype=object)
 
 
 def total(counts: Column) -> Column:
@@ -39,7 +62,7 @@ def total(counts: Column) -> Column:
 def entropy(counts: Column) -> Column:
     """Shannon entropy of counts in bits, log2(n) - sum(c log2(c)) / n; 0 of nothing."""
     n = total(counts)
-    logs = F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.when(c > 0, c * F.log2(c)).otherwise(0.0))
+    logs = F.aggregate(F.filter(counts, lambda c: c > 1), F.lit(0.0), lambda s, c: s + c * F.log2(c))
     return F.when(n > 0, F.greatest(F.log2(n) - logs / n, F.lit(0.0))).otherwise(0.0)
 
 
@@ -58,70 +81,97 @@ def counted(counts: Column, values: bytes | range) -> Column:
     return F.aggregate(F.array(*[counts[i] for i in sorted(set(values))]), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
+#: Bytes of a match's key and of the longest match, and how much of a value is looked at.
+KEY, LONGEST, LOOKED = 4, 256, 64 * 1024
+
+
+def agreement(b: bytes, i: int, j: int, most: int) -> int:
+    """How many bytes from two places on are equal, at most so many: slices of halving powers of two."""
+    n = 0
+    for k in range(most.bit_length() - 1, -1, -1):
+        step = 1 << k
+        if n + step <= most and b[i + n : i + n + step] == b[j + n : j + n + step]:
+            n += step
+    return n
+
+
+def repeated_bytes(b: bytes) -> int:
+    """Bytes that lie in repeats: a key seen before is followed to where it came last outside a repeat, without overlap."""
+    quads = np.frombuffer(b, np.uint8).astype(np.uint32)
+    keys = sum(quads[k : len(quads) - KEY + 1 + k] << np.uint32(8 * k) for k in range(KEY)).tolist() if len(quads) >= KEY else []
+    last, total, at = {}, 0, 0
+    while at < len(keys):
+        seen = last.setdefault(keys[at], at)
+        if at - seen >= KEY:
+            size = agreement(b, seen, at, min(LONGEST, len(b) - at, at - seen))
+            total, at = total + size, at + size
+        else:
+            last[keys[at]] = at
+            at += 1
+    return total
+
+
 @F.pandas_udf(T.DoubleType())
 def lz_match_ratio(data: pd.Series) -> pd.Series:
-    """The part of the first 64 KiB that repeats: at each place, the last one with the same four bytes is followed as far as it agrees."""
-
-    def one(b: bytes | None) -> float | None:
-        if b is None:
-            return None
-        b = bytes(b[: 64 * 1024])
-        n = len(b)
-        if n < 8:
-            return 0.0
-        seen: dict[bytes, int] = {}
-        matched = pos = 0
-        while pos + 4 <= n:
-            old = seen.get(key := b[pos : pos + 4])
-            if old is not None and old + 4 <= pos:
-                size, most = 4, min(256, n - pos, pos - old)
-                while size < most and b[old + size] == b[pos + size]:
-                    size += 1
-                matched += size
-                pos += size
-            else:
-                seen[key] = pos
-                pos += 1
-        return matched / n
-
-    return data.map(one)
+    """The part of the first 64 KiB that repeats; 0 of less than two keys."""
+    heads = data.map(lambda b: b[:LOOKED], na_action="ignore")
+    return heads.map(lambda b: repeated_bytes(bytes(b)) / len(b) if len(b) >= 2 * KEY else 0.0, na_action="ignore").astype(float)
 
 
-@F.pandas_udf(T.DoubleType())
-def structure_score(data: pd.Series, depth: pd.Series) -> pd.Series:
-    """Mean resultant length of the first 4 KiB: normalised bytes over t^depth, scaled to the largest, as angles."""
-
-    def one(b: bytes | None, depth: int) -> float | None:
-        if b is None:
-            return None
-        x = np.frombuffer(b[:SAMPLE], np.uint8).astype(float)
-        if not len(x):
-            return 0.0
-        if (std := x.std()) < 1e-10:
-            return 1.0
-        z = (np.arange(1, len(x) + 1) / len(x)) ** min(max(int(depth), 1), 180)
-        u = (x - x.mean()) / std
-        c = np.where(z < 1e-10, u, u / np.where(z < 1e-10, 1, z))
-        if (most := np.abs(c).max()) < 1e-10:
-            return 1.0
-        angle = 3 * np.pi * c / most
-        return float(np.hypot(np.cos(angle).mean(), np.sin(angle).mean()))
-
-    return pd.Series([one(b, k) for b, k in zip(data, depth, strict=True)])
-
-
-#: Depths that are tried for the best one, and that are compared.
+#: Depths that are tried for the best one, and that are compared.
 DEPTHS = (3, 6, 9, 12, 15, 18, 21, 24, 27, 30, 45, 60, 90, 120, 180)
 COMPARED = (1, 2, 3, 4, 5, 6, 9, 12)
+#: What counts as nothing, and how far angles reach.
+NOTHING, REACH = 1e-10, 3 * np.pi
+
+
+def resultants(values: list[bytes], depths: tuple[int, ...]) -> np.ndarray:
+    """(values, depths): how much the bytes point in one direction, 0 of nothing and 1 of one byte value.
+
+    A byte's deviation in standard deviations, over its relative place to the power of the
+    depth, is scaled to the largest one and taken as an angle; the score is the length of the
+    mean of all unit vectors. Values are the rows of a matrix, so each step is one operation.
+    """
+    n = np.fromiter(map(len, values), np.int64, len(values))
+    inside = np.arange(n.max(initial=1)) < n[:, None]
+    count = np.maximum(n, 1)[:, None]
+    x = np.zeros(inside.shape)
+    x[inside] = np.frombuffer(b"".join(values), np.uint8)
+    off = np.where(inside, x - x.sum(axis=1, keepdims=True) / count, 0)
+    spread = np.sqrt((off**2).sum(axis=1, keepdims=True) / count)
+    flat = spread[:, 0] < NOTHING
+    unit, place = off / np.where(spread < NOTHING, 1, spread), np.arange(1, x.shape[1] + 1) / count
+    out = np.empty((len(values), len(depths)))
+    for k, depth in enumerate(depths):
+        weight = place ** min(max(depth, 1), 180)
+        turned = unit / np.where(weight < NOTHING, 1, weight)
+        top = np.abs(turned).max(axis=1, keepdims=True)
+        angle = REACH * turned / np.where(top < NOTHING, 1, top)
+        east, north = ((f(angle) * inside).sum(axis=1) / count[:, 0] for f in (np.cos, np.sin))
+        out[:, k] = np.where(flat | (top[:, 0] < NOTHING), 1.0, np.hypot(east, north))
+    out[n == 0] = 0
+    return out
+
+
+def structure_scores(data: Column, tried: tuple[int, ...]) -> Column:
+    """Scores of the first 4 KiB at each of the depths, in one pass."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(batch: pd.Series) -> pd.Series:
+        values, _, none = _values(batch.map(lambda b: b[:SAMPLE], na_action="ignore"))
+        out = [row for k in range(0, len(values), 64) for row in resultants(values[k : k + 64], tried)]
+        return pd.Series([None if x else row for row, x in zip(out, none, strict=True)], dtype=object)
+
+    return run(data)
 
 
 def structure_at(data: Column, depth: int = 3) -> Column:
-    return structure_score(data, F.lit(depth))
+    return structure_scores(data, (depth,))[0]
 
 
 def depths(data: Column, tried: tuple[int, ...] = COMPARED) -> Column:
     """(depth, score) at each depth."""
-    return F.array(*[F.struct(F.lit(d).alias("depth"), structure_at(data, d).alias("score")) for d in tried])
+    return F.zip_with(F.array(*map(F.lit, tried)), structure_scores(data, tried), lambda d, s: F.struct(d.alias("depth"), s.alias("score")))
 
 
 def best_depth(scores: Column) -> Column:
@@ -134,6 +184,7 @@ def compressibility(entropy_bits: Column, lz: Column) -> Column:
     return 0.5 * (1 - entropy_bits / 8) + 0.5 * lz
 
 
+#: The levels by how well a payload compresses.
 def recommended_level(score: Column) -> Column:
     return F.when(score > 0.7, 1).when(score > 0.5, 3).when(score > 0.3, 6).when(score > 0.1, 9).otherwise(1)
 

@@ -129,13 +129,10 @@ def grams_of(term: str) -> list[str]:
     return sorted({r.lower()[i : i + 3] for r in runs for i in range(len(r) - 2)})
 
 
-def bit_set(bits: Column, position: int) -> Column:
-    """Whether a bit of a bitmap is set; a null bitmap has none."""
-    byte = F.conv(F.hex(F.substring(bits, position // 8 + 1, 1)), 16, 10).cast("int")
-    return F.coalesce(byte.bitwiseAND(F.lit(1 << position % 8)) != 0, F.lit(False))
-
-
 def may_contain(term: str) -> Column:
-    """The predicate on the index that holds for every block with a line that contains the term."""
-    tests = [bit_set(F.col(f"tri_{g[0]}"), N * ALPHABET.index(g[1]) + ALPHABET.index(g[2])) for g in grams_of(term)]
-    return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+    """The predicate on the index that holds for every block with a line that contains the term: a bit of its letter's column for each trigram; a null column has none."""
+    tests = []
+    for a, b, c in grams_of(term):
+        at = N * ALPHABET.index(b) + ALPHABET.index(c)
+        tests.append(f"coalesce(CAST(conv(hex(substring(tri_{a}, {at // 8 + 1}, 1)), 16, 10) AS INT) & {1 << at % 8} != 0, false)")
+    return F.expr(" AND ".join(tests) or "true")

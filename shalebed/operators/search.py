@@ -28,7 +28,7 @@ def pruned(lines: DataFrame, blocks: DataFrame, term: str) -> DataFrame:
     ids = [r[0] for r in found.limit(LISTED + 1).collect()]
     if len(ids) > LISTED:
         return lines.join(found, "block_id", "left_semi")
-    return lines.filter(F.col("block_id").isin(ids)) if ids else lines.filter(F.lit(False))
+    return lines.filter(f"block_id IN ({', '.join(map(str, ids)) or 'NULL'})")
 
 
 def search(lines: DataFrame, blocks: DataFrame, term: str) -> DataFrame:

@@ -163,6 +163,30 @@ def test_lz_and_levels(spark):
     assert math.isclose(counts.select(B.entropy(F.col("h"))).first()[0], 1.0)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([b"abcd", b"ab", b"x", b"abcdabcdabcd", b"\x00" * 9, bytes(range(40))]), max_size=40).map(b"".join))
+def test_repeats_against_a_plain_walk(b):
+    seen, total, at = {}, 0, 0
+    while at + 4 <= len(b):
+        old = seen.get(b[at : at + 4])
+        if old is not None and old + 4 <= at:
+            n = 0
+            while n < min(256, len(b) - at, at - old) and b[old + n] == b[at + n]:
+                n += 1
+            total, at = total + n, at + n
+        else:
+            seen[b[at : at + 4]] = at
+            at += 1
+    assert B.repeated_bytes(b) == total
+
+
+def test_scores_of_many_values_are_those_of_each():
+    values = [b"", b"a", b"aaaa", bytes(range(256)) * 3, b"hello you", bytes(np.random.default_rng(1).integers(0, 256, 4096, np.uint8))]
+    for depths in (B.COMPARED, B.DEPTHS):
+        assert np.allclose(B.resultants(values, depths), np.vstack([B.resultants([v], depths) for v in values]))
+    assert (B.resultants(values[:3], (3,))[:, 0] == [0, 1, 1]).all()
+
+
 def test_chunks_against_slices(spark):
     data = bytes((7 * i + 13) % 256 for i in range(1000))
     df = spark.createDataFrame([("f", bytearray(data)), ("empty", bytearray())], "n string, d binary")
