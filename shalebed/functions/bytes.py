@@ -140,7 +140,7 @@ def resultants(values: list[bytes], depths: tuple[int, ...]) -> np.ndarray:
     off = np.where(inside, x - x.sum(axis=1, keepdims=True) / count, 0)
     spread = np.sqrt((off**2).sum(axis=1, keepdims=True) / count)
     flat = spread[:, 0] < NOTHING
-    unit, place = off / np.where(spread < NOTHING, 1, spread), np.arange(1, x.shape[1] + 1) / count
+    unit, place = off / np.where(spread < NOTHING, 1, spread), np.minimum(np.arange(1, x.shape[1] + 1) / count, 1)
     out = np.empty((len(values), len(depths)))
     for k, depth in enumerate(depths):
         weight = place ** min(max(depth, 1), 180)
