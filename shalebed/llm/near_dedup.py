@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 from .graph import components
-from .words import WordHashes, chunks, mix, only_ids, starts, windows, word_arrays
+from .words import WordHashes, chunks, free_names, mix, only_ids, starts, windows, word_arrays
 
 SAMPLES, ROWS, BITS, SET_BITS = 128, 4, 512, 1024
 BLOCK, NAMED = 1024, 2
@@ -308,15 +308,32 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _unlike_ids(docs: DataFrame) -> bool:
+    """Whether a doc_id is missing or names several rows."""
+    n = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").count()
+    return n.filter("doc_id IS NULL OR count > 1").limit(1).count() > 0
+
+
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, without near duplicates: of each component the smallest doc_id.
+    """The rows of docs, all columns, without near duplicates: one row of each component stays.
 
-    Rows that repeat a kept doc_id are reduced to one only if there are any, as that moves texts.
+    Where every row has a doc_id of its own, that is the row of the smallest one. Where ids are
+    missing or repeat, rows are judged by their own sets under numbers of their own, for which
+    docs are written once more: of a component the row of the smallest doc_id stays, any row
+    without one after those with one; of rows without words, one of each doc_id stays, and
+    each that has none.
     """
-    verdict = stored(near_duplicates(docs, n, percent).select("doc_id", "kept"), "verdict")
-    gone = verdict.filter("NOT kept").select("doc_id").distinct()
-    out = only_ids(docs.withColumn("doc_id", F.col("doc_id").cast("long")), gone, how="left_anti").select(*docs.columns)
-    again = verdict.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if again:
-        out = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id IS NULL"))
-    return out
+    if not _unlike_ids(docs):
+        verdict = stored(near_duplicates(docs, n, percent).select("doc_id", "kept"), "verdict")
+        gone = verdict.filter("NOT kept").select("doc_id")
+        return only_ids(docs.withColumn("doc_id", F.col("doc_id").cast("long")), gone, how="left_anti").select(*docs.columns)
+    (row,) = free_names(docs.columns, ["row"])
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), n, percent)
+    own = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    judged = found.withColumnRenamed("doc_id", "row").join(own, "row")
+    wordless, unnamed = F.col("n_shingles") == 0, F.col("id").isNull()
+    group = F.when(wordless, F.coalesce("id", "row")).otherwise(F.col("component_id"))
+    first = F.min(F.struct(unnamed.alias("unnamed"), "id", "row"))
+    kept = judged.groupBy(wordless.alias("w"), (wordless & unnamed).alias("u"), group.alias("g")).agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return only_ids(numbered, stored(kept, "kept"), row).select(*docs.columns)

@@ -277,10 +277,30 @@ def test_components(docs):
 def test_component_edges(spark, edges):
     assert components_of(edges, 3, 85) == brute_components([(d, t) for d, t, _ in EDGES], 3, 85)
     assert components_of(empty(spark), 3, 85) == []
-    kept = near_dedup.keep_first(edges, 3, 85)
-    assert kept.columns == ["doc_id", "text", "slot"]
-    ids = [r.doc_id for r in kept.collect()]
-    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and ids.count(None) == 2
+
+
+def brute_first(rows, n, percent):
+    """The rows (doc_id, text) that stay, one of each component."""
+    best = {}
+    for k, size, comp in brute_components([(k, r[1]) for k, r in enumerate(rows)], n, percent):
+        i = rows[k][0]
+        group = ("set", comp) if size else ("id", i) if i is not None else ("row", k)
+        best[group] = min(best.get(group, (True, 0, k)), (i is None, i or 0, k))
+    return [rows[k][:2] for _, _, k in best.values()]
+
+
+def test_first_of_each_component(spark, edges):
+    """Rows are judged by their own texts where ids are missing or repeat; copies without ids leave one."""
+    other, third = BASE.replace("tok", "other"), " ".join(f"third{i}" for i in range(60))
+    # Id 20 has a copy of id -3's text and a text of its own; copies of one text have no ids at all.
+    more = [(20, BASE, "i"), (20, other, "i"), (None, third, "j"), (None, third, "k"), (None, third + " end", "l"), (21, None, "m"), (21, "", "m"), (None, "", "n")]
+    # Any of the rows that tie may stay.
+    tied = lambda rows: sorted(((i, third if t and t.startswith(third) else (t or "").strip()) for i, t in rows), key=repr)
+    for rows, df in ((EDGES, edges), (EDGES + more, spark.createDataFrame(EDGES + more, SCHEMA).repartition(3))):
+        kept = near_dedup.keep_first(df, 3, 85)
+        assert kept.columns == ["doc_id", "text", "slot"]
+        assert tied((r.doc_id, r.text) for r in kept.collect()) == tied(brute_first(rows, 3, 85))
+    assert near_dedup.keep_first(empty(spark), 3, 85).count() == 0
 
 
 def test_many_near_copies_of_few_links(spark, monkeypatch):
