@@ -1,22 +1,20 @@
 """Substring dedup with repeated-phrase automata.
 
-1. Confirm: every run of n words (a window) is hashed. A slice of documents reports each
-   window once, with the smallest doc_id of the slice that has it, packed by ranges of the
-   hash; a range learns which windows recur and who owns them: the smallest doc_id of all.
-2. Passages: in the owner's text, consecutive windows that it owns and that recur join into
-   passages. Hashes only nominate; from here on words are compared.
-3. Compile: documents are dealt to shards. A shard gets the passages that its documents may
-   hold, cut into phrases of (n + 1) / 2 words side by side, one of which lies in every window,
-   and compiles them into an Aho-Corasick automaton.
-4. Stream: every document of the shard runs through the automaton. Hits on one diagonal of a
-   passage chain into a match, which is extended word by word at its two ends; a match of n
-   words or more of a passage of a smaller doc_id is removed.
-
-A passage that a third of all documents share is reported once a slice and compiled once a
-shard. In a slice, a document is tied to the smallest one that it shares a window with; across
-slices, only that one is tied to the owner. So a document asks for the passages of its slice's
-smallest one and of that one's owners, and what a tie can multiply to is bounded by a slice.
-Documents without a recurring window never leave their place.
+1. Confirm: documents are dealt to parts by their ids, and every run of n words (a window) is
+   hashed. A part reports each window once, with the smallest of its doc_ids that has it, packed
+   by ranges of the hash; a range learns who owns a window, the smallest doc_id of all, and which
+   parts ask for it: those where another document has it.
+2. Passages: in the owner's text, consecutive windows that a part asks for join into the passages
+   of that part. Hashes only nominate; from here on words are compared.
+3. Compile: a part's passages are cut into phrases of (n + 1) / 2 words side by side, one of which
+   lies in every window, and compiled into an Aho-Corasick automaton.
+4. Stream: every document of the part that holds a window of a smaller one runs through the
+   automaton. Hits on one diagonal of a passage chain into a match, which is extended word by word
+   at its two ends; a match of n words or more of a passage of a smaller doc_id is removed.
+
+A passage that a third of all documents share is reported, asked for and compiled once a part.
+What a part gets are windows that its own documents hold, so that an automaton doesn't grow with
+the number of parts. Documents that hold no window of a smaller one never run through one.
 
 Defined results: a null or empty text has no words; rows without doc_id are kept whole and
 own nothing; rows of one doc_id don't remove each other's words; a text shorter than n words
@@ -31,15 +29,14 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import partitions_for, stored
-from .words import WordHashes, chunks, free_names, mix, only_ids, pack_counts, pack_sorted, range_of, unpack_counts, unpack_sorted, windows, word_arrays
+from .words import CHUNK_BYTES, WordHashes, chunks, free_names, mix, only_ids, pack_longs, pack_sorted, range_of, unpack_longs, unpack_sorted, windows, word_arrays
 
-SLICE_BYTES, PART_BYTES = 2 << 20, 16 << 20
+SLICE_BYTES, PART_BYTES = 24 << 20, 16 << 20
 OWN_TYPES = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
@@ -59,13 +56,17 @@ def _slices(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(cut, [*cut[1:], len(keys)][: len(cut)], strict=True)
 
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs (a, b), in order."""
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``CHUNK_BYTES`` of binary values."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size > CHUNK_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
 def _dealt(ids: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -75,124 +76,135 @@ def _dealt(ids: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     yield from ((int(part[order[b]]), order[b:e]) for b, e in _slices(part[order]))
 
 
+REPORT = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("hashes", pa.binary()), ("first", pa.binary()), ("several", pa.binary()), ("later", pa.binary())])
+PASSAGE = pa.schema([("part", pa.int32()), ("owner", pa.int64()), ("passage", pa.binary())])
+
+
+def _report(part: int, ids: np.ndarray, hashes: np.ndarray, lens: np.ndarray, n: int, shards: int) -> Iterator[tuple]:
+    """The rows of ``reports`` for documents of one part."""
+    at, h = windows(hashes, lens, n)
+    if not len(at):
+        return
+    doc = np.repeat(ids, lens)[at]
+    order = np.argsort(h)
+    h, doc = h[order], doc[order]
+    begin = _groups(h)
+    first = np.minimum.reduceat(doc, begin)
+    several = np.maximum.reduceat(doc, begin) != first
+    later = np.unique(doc[doc != np.repeat(first, np.diff(begin, append=len(h)))]).tobytes()
+    h = h[begin]
+    shard = range_of(h, shards)
+    cuts = list(_slices(shard))
+    for k, (b, e) in enumerate(cuts):
+        yield int(shard[b]), part, pack_sorted(h[b:e]), pack_longs(first[b:e].view(np.uint64)), np.packbits(several[b:e]).tobytes(), later if k == part % len(cuts) else b""
+
+
 def reports(docs: DataFrame, n: int, shards: int) -> DataFrame:
-    """What slices of documents report to each range of hashes.
+    """What each part of the documents, whose rows lie together, reports to each range of hashes.
 
-    hashes: the windows of the slice; ids, first: the smallest doc_id with each; several: it
-    has another one in the slice; later, before: documents and the smaller ones of the slice
-    that they share a window with.
+    hashes: the windows of the part; first: the smallest doc_id with each; several: it has
+    another one in the part; later: documents that share a window with a smaller one of the
+    part. A part of over ``SLICE_BYTES`` reports by slices.
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, turn = WordHashes(), 0
-        for batch, texts in chunks(batches, limit=SLICE_BYTES):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            hashes, lens = word_arrays(texts, known)
-            at, h = windows(hashes, lens, n)
-            doc = ids[np.repeat(np.arange(len(lens)), lens)[at]] if len(at) else np.zeros(0, np.int64)
-            order = np.argsort(h)
-            h, doc = h[order], doc[order]
-            begin = _groups(h)
-            if not len(begin):
-                continue
-            first = np.minimum.reduceat(doc, begin)
-            several = np.maximum.reduceat(doc, begin) != first
-            least = np.repeat(first, np.diff(begin, append=len(h)))
-            later = _distinct(doc[doc != least], least[doc != least])
-            shard = range_of(h[begin], shards)
-            rows = []
-            for b, e in _slices(shard):
-                own, index = np.unique(first[b:e], return_inverse=True)
-                rows.append((int(shard[b]), pack_sorted(h[begin[b:e]]), own.tobytes(), pack_counts(index), np.packbits(several[b:e]).tobytes(), b"", b""))
-            if len(later[0]):
-                turn += 1
-                k = turn % len(rows)
-                rows[k] = (*rows[k][:5], later[0].tobytes(), later[1].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 6], strict=True)], ["shard", "hashes", "ids", "first", "several", "later", "before"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "shard int, hashes binary, ids binary, first binary, several binary, later binary, before binary")
-
-
-def _confirm(table: pa.Table, parts: int) -> pa.Table:
-    """What one range has found, dealt over parts by document: recurring windows with their owners, and who holds them beside.
-
-    tie: whether the pair is one of a slice (0), or ties a slice's smallest document to an owner (1).
+        def rows() -> Iterator[tuple]:
+            known, part, held, size = WordHashes(), None, [], 0
+            for batch, texts in chunks(batches):
+                ids, parts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "part"))
+                for b, e in _slices(parts):
+                    if held and (parts[b] != part or size > SLICE_BYTES):
+                        yield from _report(part, *map(np.concatenate, zip(*held, strict=True)), n, shards)
+                        held, size = [], 0
+                    part = int(parts[b])
+                    held.append((ids[b:e], *word_arrays(texts[b:e], known)))
+                    size += sum(map(len, texts[b:e]))
+            if held:
+                yield from _report(part, *map(np.concatenate, zip(*held, strict=True)), n, shards)
+
+        yield from _batches(rows(), REPORT)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "part")
+    return rows.mapInArrow(run, "shard int, part int, hashes binary, first binary, several binary, later binary")
+
+
+def _confirm(table: pa.Table, bins: int) -> pa.Table:
+    """What one range has found, dealt over bins by document: who owns windows and which parts ask for them, and who holds a smaller one's.
+
+    A window is named by the lower half of its hash, which is enough inside the owner's text: one
+    too many only makes a passage longer.
     """
-    hashes, firsts, several, pairs = [], [], [], []
-    for _, h, ids, index, many, later, before in zip(*(c.to_pylist() for c in table.columns), strict=True):
+    hashes, firsts, several, parts, later = [], [], [], [], []
+    for _, part, h, first, many, behind in zip(*(c.to_pylist() for c in table.columns), strict=True):
         hashes.append(unpack_sorted(h))
-        firsts.append(np.frombuffer(ids, np.int64)[unpack_counts(index)])
+        firsts.append(unpack_longs(first).view(np.int64))
         several.append(np.unpackbits(np.frombuffer(many, np.uint8), count=len(hashes[-1])).astype(bool))
-        if later:
-            pairs.append((np.frombuffer(later, np.int64), np.frombuffer(before, np.int64)))
-    h, doc, many = map(np.concatenate, (hashes, firsts, several))
+        parts.append(np.full(len(hashes[-1]), part, np.int32))
+        later.append(np.frombuffer(behind, np.int64))
+    h, doc, many, part = map(np.concatenate, (hashes, firsts, several, parts))
     order = np.argsort(h)
-    h, doc, many = h[order], doc[order], many[order]
+    h, doc, many, part = h[order], doc[order], many[order], part[order]
     begin = _groups(h)
-    least = np.minimum.reduceat(doc, begin)
-    owner = np.repeat(least, np.diff(begin, append=len(h)))
-    recurs = np.logical_or.reduceat(many | (doc != owner), begin)
-    own, what = least[recurs], h[begin][recurs]
-    rows = [(p, own[at].tobytes(), what[at].tobytes(), b"", b"", 0) for p, at in _dealt(own, parts)]
-    ties = [_distinct(*map(np.concatenate, zip(*pairs, strict=True)))] if pairs else [(np.zeros(0, np.int64),) * 2]
-    ties.append(_distinct(doc[doc != owner], owner[doc != owner]))
-    for tie, (later, before) in enumerate(ties):
-        rows += [(p, b"", b"", later[at].tobytes(), before[at].tobytes(), tie) for p, at in _dealt(later, parts)]
-    return pa.table([pa.array([r[k] for r in rows], pa.binary() if k % 5 else pa.int32()) for k in range(6)], ["part", "owners", "windows", "later", "before", "tie"])
+    owner = np.repeat(np.minimum.reduceat(doc, begin), np.diff(begin, append=len(h)))
+    holds = np.unique(np.concatenate([*later, doc[doc != owner]]))
+    asks = many | (doc != owner)
+    own, what, part = owner[asks], h[asks].astype(np.uint32), part[asks]
+    rows = [(b, own[at].tobytes(), what[at].tobytes(), part[at].tobytes(), b"") for b, at in _dealt(own, bins)]
+    rows += [(b, b"", b"", b"", holds[at].tobytes()) for b, at in _dealt(holds, bins)]
+    return pa.table([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(5)], ["bin", "owners", "windows", "parts", "holds"])
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    """Of one part of the documents: (doc, windows) of owners, (doc, before, tie) of others, each once."""
-    own, what = (np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in (("owners", np.int64), ("windows", np.uint64)))
-    order = np.argsort(own)
-    own, what = own[order], what[order]
-    blobs = [what[b:e].tobytes() for b, e in _slices(own)]
-    pairs = []
-    for tie in (0, 1):
-        mine = table.filter(pa.compute.equal(table["tie"], tie))
-        pairs.append(_distinct(*(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in mine[c].to_pylist())]) for c in ("later", "before"))))
-    later, before = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    """Of one bin of the documents: (doc, windows, parts) of owners, (doc, null, null) of those that hold a smaller one's, each once."""
+    own, what, part, holds = (np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in (("owners", np.int64), ("windows", np.uint32), ("parts", np.int32), ("holds", np.int64)))
+    order = np.lexsort((part, own))
+    own, what, part = own[order], what[order], part[order]
+    cuts, holds = list(_slices(own)), np.unique(holds)
     return pa.table({
-        "doc": pa.array(np.concatenate((own[_groups(own)], later)), pa.int64()),
-        "windows": pa.array([*blobs, *[None] * len(later)], pa.binary()),
-        "before": pa.concat_arrays([pa.nulls(len(blobs), pa.int64()), pa.array(before, pa.int64())]),
-        "tie": pa.array(np.concatenate((np.zeros(len(blobs), np.int32), np.repeat(np.arange(2, dtype=np.int32), [len(x[0]) for x in pairs]))), pa.int32()),
+        "doc": pa.array(np.concatenate((own[_groups(own)], holds)), pa.int64()),
+        "windows": pa.array([*(what[b:e].tobytes() for b, e in cuts), *[None] * len(holds)], pa.binary()),
+        "parts": pa.array([*(part[b:e].tobytes() for b, e in cuts), *[None] * len(holds)], pa.binary()),
     })
 
 
-def confirm(docs: DataFrame, n: int) -> DataFrame:
-    """(doc, windows, before, tie): the owners' recurring windows, and which documents share one with a smaller one."""
-    parts = partitions_for(docs, PART_BYTES)
-    found = reports(docs, n, 2 * parts).groupBy("shard").applyInArrow(lambda t: _confirm(t, parts), "part int, owners binary, windows binary, later binary, before binary, tie int")
-    return found.groupBy("part").applyInArrow(_gather, "doc long, windows binary, before long, tie int")
+def confirm(docs: DataFrame, n: int, parts: int) -> DataFrame:
+    """(doc, windows, parts): the owners' recurring windows with the parts that ask for them; (doc, null, null): documents that hold one of a smaller one."""
+    dealt = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", "part").repartitionById(parts, "part")
+    found = reports(dealt, n, 2 * parts).groupBy("shard").applyInArrow(lambda t: _confirm(t, parts), "bin int, owners binary, windows binary, parts binary, holds binary")
+    return found.groupBy("bin").applyInArrow(_gather, "doc long, windows binary, parts binary")
 
 
 def passages(docs: DataFrame, confirmed: DataFrame, n: int) -> DataFrame:
-    """(owner, passage): the owners' runs of recurring windows, words joined by one space."""
+    """(part, owner, passage): the owners' runs of windows that a part asks for, words joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch, texts in chunks(batches):
-            owners, out = [], []
-            for doc, text, mine in zip(batch.column("doc_id").to_pylist(), texts, batch.column("windows").to_pylist(), strict=True):
-                words = text.split()
-                at, h = windows(known.of(words), np.array([len(words)]), n)
-                found = np.nonzero(np.isin(h, np.frombuffer(mine, np.uint64)))[0]
-                _, first = np.unique(h[found], return_index=True)
-                where = np.sort(at[found[first]])
-                cut = np.nonzero(np.diff(where, prepend=-2) != 1)[0]
-                for b, e in zip(cut, [*cut[1:], len(where)], strict=False):
-                    owners.append(doc)
-                    out.append(b" ".join(words[where[b] : where[e - 1] + n]))
-            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(out, pa.binary())], ["owner", "passage"])
-
-    own = confirmed.filter("windows IS NOT NULL").select(F.col("doc").alias("doc_id"), "windows")
+        def rows() -> Iterator[tuple]:
+            known = WordHashes()
+            for batch, texts in chunks(batches):
+                for doc, text, mine, parts in zip(batch.column("doc_id").to_pylist(), texts, batch.column("windows").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                    words = text.split()
+                    at, h = windows(known.of(words), np.array([len(words)]), n)
+                    if not len(at):
+                        continue
+                    have, first = np.unique(h.astype(np.uint32), return_index=True)
+                    asked, part = np.frombuffer(mine, np.uint32), np.frombuffer(parts, np.int32)
+                    place = np.minimum(np.searchsorted(have, asked), len(have) - 1)
+                    mask = have[place] == asked  # else of another row of this doc_id
+                    # by part and place; a part's next place is one further
+                    where = np.unique(part[mask].astype(np.int64) << 32 | at[first[place[mask]]])
+                    cut = np.nonzero(np.diff(where, prepend=-2) != 1)[0]
+                    for b, e in zip((where[cut]).tolist(), where[[*(cut[1:] - 1), len(where) - 1]].tolist() if len(where) else [], strict=True):
+                        yield b >> 32, doc, b" ".join(words[b & 0xFFFFFFFF : (e & 0xFFFFFFFF) + n])
+
+        yield from _batches(rows(), PASSAGE)
+
+    own = confirmed.filter("windows IS NOT NULL").select(F.col("doc").alias("doc_id"), "windows", "parts")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return only_ids(rows, own).join(own, "doc_id").select("doc_id", "text", "windows").mapInArrow(run, "owner long, passage binary")
+    return only_ids(rows, own).join(own, "doc_id").select("doc_id", "text", "windows", "parts").mapInArrow(run, "part int, owner long, passage binary")
 
 
 def demand(confirmed: DataFrame) -> DataFrame:
-    """(doc_id, owner): whose passages each document may hold.
+    """(doc_id, owner): whose passages each document may hold, by ties; ``dedup`` has parts ask by windows instead.
 
     A tie of a slice is followed by the ties to owners only, never by another of its kind: a
     document is the smallest of its own slice for no more documents than a slice has.
@@ -314,13 +326,11 @@ def dedup(docs: DataFrame, n: int = 13) -> DataFrame:
     inner = {c: c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(given)}
     columns = [inner[c] for c in given]
     docs = docs.select(*(F.col(f"`{c}`").alias(inner[c]) for c in given)).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    confirmed = stored(confirm(docs, n), "confirmed")
-    asked = stored(demand(confirmed), "demand")
-    found = passages(docs, confirmed, n)
     parts = partitions_for(docs, PART_BYTES)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
-    affected = asked.select("doc_id").distinct()
-    needed = asked.select(part.alias("part"), "owner").distinct().join(found, "owner").select("part", "owner", "passage")
+    confirmed = stored(confirm(docs.withColumn("part", part), n, parts), "confirmed")
+    affected = confirmed.filter("windows IS NULL").select(F.col("doc").alias("doc_id"))
+    needed = passages(docs, confirmed, n)
     schema = T.StructType([*docs.schema.fields, *OWN_TYPES])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +358,7 @@ def dedup(docs: DataFrame, n: int = 13) -> DataFrame:
             yield _rows(batch, columns, split, [[] for _ in split])
 
     both = only_ids(docs, affected).select(*columns).withColumn("part", part).unionByName(needed, allowMissingColumns=True)
-    dealt = both.repartition(parts, "part").sortWithinPartitions("part", F.col("owner").isNull())
+    dealt = both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("owner").isNull())
     clean = only_ids(docs, affected, how="left_anti").select(*columns)
     out = dealt.mapInArrow(stream, schema).unionByName(clean.mapInArrow(plain, schema))
     back = [F.col(inner[f.name]).cast(f.dataType).alias(f.name) for f in schema_in]

@@ -455,6 +455,27 @@ def test_ties_of_a_slice_are_followed_once(spark):
     assert asked == {(5, 4), (6, 4), (4, 1), (4, 2), (1, 0), (9, 5), (5, 1), (5, 2), (6, 1), (6, 2)}
 
 
+def test_parts_get_the_passages_that_they_hold(spark):
+    """Of an owner with 20 recurring passages, a part gets those that its own documents share."""
+    lines = [" ".join(f"line{i}word{j}" for j in range(20)) for i in range(20)]
+    rows = [(0, " ".join(lines), 0), *((i + 1, f"own{i} " + t, i + 1) for i, t in enumerate(lines)), (30, "all of this is new " * 2 + " ".join(map(str, range(20))), 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    confirmed = passages.confirm(df, 13, 31)
+    assert {r.doc for r in confirmed.filter("windows IS NULL").collect()} == set(range(1, 21))
+    got = sorted((r.part, r.owner, bytes(r.passage).decode()) for r in passages.passages(df, confirmed, 13).collect())
+    assert got == [(i + 1, 0, t) for i, t in enumerate(lines)]
+
+
+def test_a_part_reports_once_to_a_range(spark):
+    """The number of rows goes by parts and ranges, not by slices of a few MB."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(20_000)) for i in range(30)]
+    assert sum(map(len, texts)) > 5 << 20
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, part int").coalesce(1)
+    assert passages.reports(df, 13, 4).select("shard").count() == 4
+    two = df.withColumn("part", F.expr("CAST(doc_id DIV 15 AS INT)")).sort("part").coalesce(1)
+    assert passages.reports(two, 13, 4).select("shard").count() == 8
+
+
 @settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(0, 9), st.lists(st.sampled_from("a b c d aa".split()), max_size=40).map(" ".join)), min_size=1, max_size=12))
 def test_passages_of_few_words(spark, rows):
