@@ -767,7 +767,7 @@ def multi_file_extract(spark, sf_dir):
 @query()
 def zstd_ratio(spark, sf_dir):
     p = payloads(spark, sf_dir).withColumn("size", F.octet_length("data")).withColumn("frame", codec.compressed(F.col("data"), 3))
-    ratio = F.octet_length("frame") / F.col("size")
+    ratio = F.when(F.col("size") > 0, F.octet_length("frame") / F.col("size"))
     return p.select("doc_id", "size", F.round(ratio, 6).alias("ratio"), B.would_bloat(F.col("size"), F.octet_length("frame")).alias("stored"))
 
 

@@ -36,6 +36,13 @@ def test_sizes_are_of_compressed_bytes(spark, tmp_path):
     assert stored[1] is stored[2] is False and stored[3] is True
 
 
+def test_an_empty_text_has_no_ratio(spark, tmp_path):
+    docs = [(1, "many words " * 900), (2, ""), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in catalog.queries()["zstd_ratio"](spark, str(tmp_path)).collect()}
+    assert got[1].ratio < 0.1 and (got[2].size, got[2].ratio, got[2].stored) == (0, None, True) and got[3].size is got[3].ratio is None
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
